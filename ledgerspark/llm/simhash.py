@@ -7,12 +7,12 @@ words than a shingle is one shingle; a text without words has fingerprint 0.
 Links: all pairs of distinct fingerprints within ``radius`` differing bits.
 Fingerprints are cut into radius + 1 blocks of bits. Two of them within the
 radius agree on a whole block, so tiles hold the fingerprints that agree on
-one block, split further by population count; a tile is compared with itself
-and with those whose population count is up to ``radius`` more, all other tile
-pairs being skipped. A comparison is a numpy exclusive-or and a bit count.
-Tiles with more than ``TILE_ROWS`` fingerprints are cut into parts that go to
-different tasks. Each task returns a spanning forest of the links it found,
-never all pairs, and components come from rounds of minimum-label joins.
+one block, in the order of their population counts; pairs whose population
+counts differ by more than ``radius`` are skipped. A comparison is a numpy
+exclusive-or and a bit count over many small tiles at once. Tiles with more
+than ``TILE_ROWS`` fingerprints are cut into shares, and each pair of shares
+goes to a task of its own. Tasks return a spanning forest of the links they
+found, never all pairs; components come from rounds of minimum-label joins.
 
 Contract cases: null and empty texts have fingerprint 0 and are linked with
 each other; repeated ids and ties go to the smallest id; rows without an id
@@ -78,19 +78,6 @@ def fingerprints(docs: DataFrame, keep: list, text_col: str, k: int, sized: bool
     return out if sized else out.drop("_lm_shingles")
 
 
-def near_pairs(own: np.ndarray, visit: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius; with ``same`` (own is visit) each pair once."""
-    left, right = [], []
-    step = max(1, (1 << 20) // max(1, len(visit)))
-    for lo in range(0, len(own), step):
-        i, j = np.nonzero(np.bitwise_count(own[lo : lo + step, None] ^ visit[None, :]) <= radius)
-        i = i + lo
-        if same:
-            i, j = i[i < j], j[i < j]
-        left.append(i), right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
-
-
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Root (smallest index) of each of n nodes under the links i-j."""
     root = np.arange(n)
@@ -105,33 +92,36 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def compare(own: np.ndarray, visit: np.ndarray | None, radius: int, tight: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a tile pair as node indices (visit's after own's).
+    """Links of a tile pair as node indices (visit's after own's), linear in the nodes.
 
-    Links of up to ``tight`` bits come as a spanning forest; wider ones come
-    once for each two trees of that forest, the closest first.
+    The matrix of distances is looked at in pieces. Nodes are joined by close
+    links first and by wide ones then, one link for each two groups that a
+    piece joins; besides, each node comes with its nearest neighbour.
     """
-    if visit is None:
-        nodes = own
-        i, j = near_pairs(own, own, radius, True)
-    else:
-        nodes = np.concatenate([own, visit])
-        i, j = near_pairs(own, visit, radius, False)
-        j = j + len(own)
-    bits = np.bitwise_count(nodes[i] ^ nodes[j])
-    close = bits <= tight
-    root = forest(len(nodes), i[close], j[close])
-    tree = np.flatnonzero(root != np.arange(len(nodes)))
-    a, b = [root[tree]], [tree]
-    i, j, bits = i[~close], j[~close], bits[~close]
-    apart = root[i] != root[j]
-    if apart.any():
-        i, j, bits = i[apart], j[apart], bits[apart]
-        order = np.argsort(bits, kind="stable")
-        i, j = i[order], j[order]
-        ends = np.sort(np.stack([root[i], root[j]], 1), axis=1)
-        _, first = np.unique(ends, axis=0, return_index=True)
-        a.append(i[first]), b.append(j[first])
-    return np.concatenate(a), np.concatenate(b)
+    nodes, right, shift = (own, own, 0) if visit is None else (np.concatenate([own, visit]), visit, len(own))
+    root, a, b = np.arange(len(nodes)), [], []
+    step = max(1, (1 << 20) // max(1, len(right)))
+    for reach in (tight, radius):
+        for lo in range(0, len(own), step):
+            bits = np.bitwise_count(own[lo : lo + step, None] ^ right[None, :])
+            if visit is None:
+                bits[np.arange(len(bits)), np.arange(lo, lo + len(bits))] = 255
+            if reach == radius:
+                near = bits.argmin(1)
+                ok = np.flatnonzero(bits[np.arange(len(bits)), near] <= radius)
+                a.append(ok + lo), b.append(near[ok] + shift)
+            i, j = np.nonzero(bits <= reach)
+            i, j = i + lo, j + shift
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            if len(i):
+                ends = np.sort(np.stack([root[i], root[j]], 1), axis=1)
+                _, first = np.unique(ends[:, 0] * len(nodes) + ends[:, 1], return_index=True)
+                i, j = i[first], j[first]
+                a.append(i), b.append(j)
+                top = forest(len(nodes), root[i], root[j])
+                root = top[root]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _tile(radius: int, tight: int):
@@ -178,13 +168,71 @@ def tile_links(rows: DataFrame, tile: list, reach: int, radius: int, tight: int,
     return rows.groupBy(*key, "l", "r", "up").applyInPandas(_tile(radius, tight), "a long, b long").distinct()
 
 
+def _tiles(radius: int):
+    """Rows sorted by tile and population count -> spanning links; a tile may go over batches."""
+
+    def solve(tile: np.ndarray, ones: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        names, node = np.unique(fp, return_inverse=True)
+        i, a, b, held = np.arange(len(fp)), [], [], 0
+        tree = np.zeros((0, 2), np.int64)
+        for o in range(1, len(fp)):
+            i = i[i + o < len(fp)]
+            i = i[(tile[i] == tile[i + o]) & (ones[i + o] - ones[i] <= radius)]
+            if not len(i):
+                break
+            hit = i[np.bitwise_count(fp[i] ^ fp[i + o]) <= radius]
+            a.append(node[hit]), b.append(node[hit + o])
+            held += len(hit)
+            if held > 1 << 20:
+                tree, held = _tree(len(names), [tree[:, 0], *a], [tree[:, 1], *b]), 0
+                a, b = [], []
+        tree = _tree(len(names), [tree[:, 0], *a], [tree[:, 1], *b])
+        return pa.RecordBatch.from_arrays([pa.array(names[tree[:, 0]].view(np.int64)), pa.array(names[tree[:, 1]].view(np.int64))], names=["a", "b"])
+
+    def run(batches):
+        tile, ones, fp, last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        for x in batches:
+            keys = np.stack([x.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "l", "r")], 1)
+            if not len(keys):
+                continue
+            new = np.r_[True, (keys[1:] != keys[:-1]).any(1)]
+            if last is not None:
+                new[0] = bool((keys[0] != last).any())
+            last = keys[-1]
+            number = (tile[-1] if len(tile) else 0) + np.cumsum(new)
+            tile, ones, fp = np.r_[tile, number], np.r_[ones, x.column("level").to_numpy().astype(np.int64)], np.r_[fp, x.column("fp").to_numpy().view(np.uint64)]
+            done = int(np.searchsorted(tile, tile[-1]))
+            if done:
+                yield solve(tile[:done], ones[:done], fp[:done])
+                tile, ones, fp = tile[done:], ones[done:], fp[done:]
+        if len(tile):
+            yield solve(tile, ones, fp)
+
+    return run
+
+
+def _tree(n: int, a: list, b: list) -> np.ndarray:
+    root = forest(n, np.concatenate(a), np.concatenate(b))
+    child = np.flatnonzero(root != np.arange(n))
+    return np.stack([root[child], child], 1)
+
+
 def links(fps: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links a-b that span the components of distinct fingerprints ``fp`` within ``radius`` bits."""
     blocks = radius + 1
     edges = [64 * i // blocks for i in range(blocks + 1)]
     value = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
-    rows = fps.select("fp", F.col("fp").alias("node"), F.bit_count("fp").alias("level"), F.explode(F.array(*[F.struct(F.lit(i).alias("block"), value(i).alias("value")) for i in range(blocks)])).alias("t"))
-    return tile_links(rows.select("node", "fp", "t.block", "t.value", "level"), ["block", "value"], radius, radius, radius, tile_rows)
+    rows = fps.select("fp", F.bit_count("fp").alias("level"), F.explode(F.array(*[F.struct(F.lit(i).alias("block"), value(i).alias("value")) for i in range(blocks)])).alias("t"))
+    rows = rows.select("fp", "level", "t.block", "t.value")
+    large = rows.groupBy("block", "value").count().where(F.col("count") > tile_rows).select("block", "value", F.ceil(F.col("count") / tile_rows).cast("int").alias("parts"))
+    rows = rows.join(small_side(written(large, "large")), ["block", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    goes = F.expr("""concat(transform(sequence(s, parts - 1), q -> named_struct('l', s, 'r', q)),
+                            if(s > 0, transform(sequence(0, s - 1), p -> named_struct('l', p, 'r', s)), array()))""")
+    rows = rows.select("block", "value", "level", "fp", F.explode(goes).alias("_goes")).select("block", "value", "_goes.*", "level", "fp")
+    key = ["block", "value", "l", "r"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "level", "fp")
+    return rows.mapInArrow(_tiles(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
