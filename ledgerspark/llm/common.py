@@ -7,6 +7,7 @@ single text, and reads or writes only through Spark or Arrow batches.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -51,6 +52,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of plans that nothing refers to any more go with the driver's garbage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,6 +36,8 @@ from .common import read_table, small_side, written
 THRESHOLD = 0.8
 CLASSES = 1 << 16
 ENDS = 24
+#: Lines of more words have a second word of parities.
+LONG = 72
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -62,9 +64,11 @@ def _before(a: str, b: str) -> Column:
 
 def _jaccard(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs d, h, i (later line) and xd, xh, xi, those that reach the threshold, as distinct d, h, i."""
+    wanted = pairs.select("d", "h").union(pairs.select("xd", "xh")).distinct().select(F.col("d").alias("wd"), F.col("h").alias("wh"))
+    docs = docs.join(small_side(written(wanted, "wanted")), docs["_lm_id"].eqNullSafe(F.col("wd")) & (F.xxhash64("_lm_text") == F.col("wh")), "left_semi")
     texts = docs.select(F.col("_lm_id").alias("td"), F.xxhash64("_lm_text").alias("th"), F.split("_lm_text", "\n").alias("ls"))
     for d, h, i, name in (("d", "h", "i", "a"), ("xd", "xh", "xi", "b")):
-        hit = texts["td"].eqNullSafe(pairs[d]) & (texts["th"] == pairs[h])
+        hit = F.col("td").eqNullSafe(F.col(d)) & (F.col("th") == F.col(h))
         pairs = pairs.join(texts, hit).withColumn(name, words(F.element_at("ls", F.col(i) + 1))).drop("td", "th", "ls")
     both = F.size(F.array_intersect("a", "b"))
     return pairs.where(both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9).select("d", "h", "i").distinct()
@@ -85,44 +89,43 @@ def _leaders(lines: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return equal.unionByName(_jaccard(rest, docs, threshold)).distinct()
 
 
-def rarity_classes(lines: DataFrame) -> bytes:
-    """A byte for each bucket of hashed words: its count over all lines, on a log scale.
+def rarity_classes(lines: DataFrame) -> list[int]:
+    """The class of each bucket of hashed words: its count over all lines, on a log scale.
 
     The table has ``CLASSES`` entries whatever the data.
     """
-    w = lines.select(F.explode_outer(F.split("line", GAP)).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).alias("b"))
-    table = bytearray(CLASSES)
+    w = lines.select(F.explode_outer(F.split("line", GAP)).alias("w")).select(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("b"))
+    table = [0] * CLASSES
     for r in w.groupBy("b").count().collect():
         table[r["b"]] = min(120, 1 + int(3 * math.log2(r["count"])))
-    return bytes(table)
+    return table
 
 
-def _postings(lines: DataFrame, classes: bytes, threshold: float) -> DataFrame:
+def _postings(lines: DataFrame, classes: list, threshold: float) -> DataFrame:
     """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a, b (parities)."""
     scale = F.lit(bytearray(classes))
-
-    def key(w: Column) -> Column:
-        x = F.xxhash64(w)
-        c = F.ascii(F.substring(scale, (F.pmod(x, F.lit(CLASSES)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(c.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-
-    rows = lines.withColumn("k", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), key)))).withColumn("n", F.size("k"))
-    flip = lambda s: F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, s).bitwiseAND(63).cast("int"))))
-    rows = rows.withColumn("a", flip(0)).withColumn("b", F.when(F.col("n") > 48, flip(6)).otherwise(F.lit(0).cast("long")))
+    low = lambda x, n: x.bitwiseAND(n).cast("int")
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", GAP), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rows = lines.withColumn("k", hashes)
+    rows = rows.withColumn("k", F.sort_array(F.transform("k", lambda x: F.shiftleft(F.ascii(F.substring(scale, low(x, CLASSES - 1) + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))).withColumn("n", F.size("k"))
+    flip = lambda s: F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), low(F.shiftright(x, s) if s else x, 63))))
+    rows = rows.withColumn("a", flip(0)).withColumn("b", F.when(F.col("n") > LONG, flip(6)).otherwise(F.lit(0).cast("long")))
     size = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
     return rows.select("d", "h", "i", *(["open"] if "open" in rows.columns else []), "n", "a", "b", F.posexplode_outer(F.slice("k", F.lit(1), size)).alias("p", "w"))
 
 
 def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of an open line and an earlier line that pass the filters."""
-    y, x = posts.where("open").alias("y"), posts.drop("open").alias("x")
+    y, x = posts.alias("y"), posts.alias("x")
     total = F.col("y.n") + F.col("x.n")
     need = F.ceil(threshold / (1 + threshold) * total - 1e-9)
     ahead = F.least(F.col("y.n") - F.col("y.p"), F.col("x.n") - F.col("x.p")) + F.least("y.p", "x.p")
     differ = lambda c: F.bit_count(F.col(f"y.{c}").bitwiseXOR(F.col(f"x.{c}")))
     most = total - 2 * need
-    both_b = (F.col("y.n") <= 48) | (F.col("x.n") <= 48) | (differ("b") <= most)
-    cond = (F.col("y.w") == F.col("x.w")) & (F.least("y.n", "x.n") >= threshold * F.greatest("y.n", "x.n") - 1e-9) & (ahead >= need) & (differ("a") <= most) & both_b & _before("x", "y")
+    both_b = (F.col("y.n") <= LONG) | (F.col("x.n") <= LONG) | (differ("b") <= most)
+    # "open" is asked together with both sides' columns: as a filter of one side it would part the two
+    # sides' plans, and the words would be sorted and shuffled twice
+    cond = (F.col("y.w") == F.col("x.w")) & (F.when(F.col("y.open") & (F.col("x.open") | (F.col("y.n") > 0)), F.least("y.n", "x.n")) >= threshold * F.greatest("y.n", "x.n") - 1e-9) & (ahead >= need) & (differ("a") <= most) & both_b & _before("x", "y")
     return y.join(x, cond).select("y.d", "y.h", "y.i", F.col("x.d").alias("xd"), F.col("x.h").alias("xh"), F.col("x.i").alias("xi")).distinct()
 
 
