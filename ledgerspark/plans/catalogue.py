@@ -1,6 +1,602 @@
-"""The queries over the book views and the SQL that each must agree with."""
+"""The queries over the book views, and the DuckDB SQL that each must agree with.
+
+Every query applies one operator to whole tables. Where there is no SQL (name
+similarity, greedy assignment, the ladder, simulated bands), tests hold the
+operator against a plain version.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions.similarity import with_similarity
+from ..operators import evaluate as E
+from ..operators import forecast as C
+from ..operators import recon as R
+from ..operators import verify as V
+from .ladder import reconcile
+from .storage import checkpointed
+from .views import AS_OF, Views, prefix
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+H, OPENING = 30, 1_000_000_000
+SQL_DAY = f"DATE '{AS_OF}'"
+
+
+def day() -> Column:
+    return F.to_date(F.lit(AS_OF))
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """Dates as text, so that results compare alike in every engine."""
+    return df.select([F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a function of Views under its name, with the SQL that follows the named views."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql is not None:
+            head = prefix(*views) if views else ""
+            more = sql.strip()
+            ORACLES[f.__name__] = f"{head},\n{more[5:]}" if head and more.startswith("WITH ") else f"{head}\n{more}"
+        return f
+
+    return add
+
+
+# scalar functions, each over all narrations, names or numbers
+
+LEGAL = "['" + "','".join(S.LEGAL) + "']"
+FILLER = "['" + "','".join(S.FILLER) + "']"
+NORM = """list_filter(regexp_split_to_array(regexp_replace(upper(strip_accents(coalesce({}, ''))), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '^\\d{{4,}}$') AND NOT list_contains(""" + LEGAL + """, w))"""
+PAT = S.RULES["invoice_number_patterns"][0]
+TOKENS = f"list_distinct(regexp_extract_all(upper(narration), '{PAT}', 0) || regexp_extract_all(regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g'), '{PAT}', 0))"
+
+
+def _has(column: str, words: list) -> str:
+    return "(" + " OR ".join(f"contains(upper({column}), '{w}')" for w in words) + ")"
+
+
+KIND = "CASE " + " ".join(f"WHEN {_has('narration', w)} THEN '{k}'" for k, w in S.CHANNELS) + " ELSE 'OTHER' END"
+TAGS = "list_filter([" + ", ".join(f"CASE WHEN {_has('narration', w)} THEN '{k}' END" for k, w in S.PURPOSES) + "], lambda t: t IS NOT NULL)"
+
+
+def _hint_sql() -> str:
+    t = "upper(strip_accents(narration))"
+    for p in S.HINT_STRIP:
+        t = f"regexp_replace({t}, '{p}', ' ', 'g')"
+    words = NORM.format(t)
+    return f"array_to_string(list_filter({words}, lambda w: NOT list_contains({FILLER}, w) AND NOT regexp_matches(w, '^\\d+$') AND length(w) > 1), ' ')"
+
+
+HINT = _hint_sql()
+TOL = "greatest(100, least(CAST(trunc(abs({0}) * CAST(0.005 AS DOUBLE)) AS BIGINT), 500000))"
+
+
+def _window(tier: str, txn: str = "l.txn_date", due: str = "d.due_date", doc: str = "d.doc_date") -> str:
+    (early, late), floor = S.RULES["date_windows_days"][tier], S.RULES["date_windows_days"]["floor"]
+    return f"(({txn} - {due}) BETWEEN {-early} AND {late} OR (({txn} - {due}) > {late} AND ({txn} - {doc}) <= {floor + late + early}))"
+
+
+MONEY = "CASE k % 6 WHEN 0 THEN '₹ ' || CAST(amount // 100 AS VARCHAR) || '.' || lpad(CAST(amount % 100 AS VARCHAR), 2, '0') WHEN 1 THEN '(' || CAST(amount AS VARCHAR) || '.505)' WHEN 2 THEN '-' || CAST(amount AS VARCHAR) WHEN 3 THEN 'INR 1,23,' || CAST(amount AS VARCHAR) WHEN 4 THEN 'n/a' ELSE ' ' || CAST(amount AS VARCHAR) || '. ' END"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, {MONEY} AS raw FROM ar_docs),
+    b AS (SELECT *, regexp_matches(trim(raw), '^\(.*\)$') AS br FROM t),
+    c AS (SELECT *, regexp_replace(CASE WHEN br THEN regexp_extract(trim(raw), '^\((.*)\)$', 1) ELSE trim(raw) END, '[₹INRinr\s,]', '', 'g') AS bare FROM b),
+    v AS (SELECT *, CASE WHEN regexp_matches(bare, '^-?(\d+(\.\d*)?|\.\d+)$') THEN CAST(round(CAST(rtrim(bare, '.') AS DECIMAL(30,6)) * 100, 0) AS BIGINT) END AS p FROM c)
+    SELECT doc_id, raw, CASE WHEN br THEN -p ELSE p END AS paise FROM v""",
+    "ar_docs",
+)
+def money_parse(v):
+    raw = F.expr(MONEY.replace("//", "div").replace("VARCHAR", "STRING"))
+    return v("ar_docs").select("doc_id", raw.alias("raw")).withColumn("paise", S.paise("raw"))
+
+
+@query(
+    r"""SELECT line_id, CASE WHEN amount < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN length(w) > 3 THEN reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(\d\d)', '\1,', 'g')) || ',' || right(w, 3) ELSE w END || '.' || lpad(CAST(abs(amount) % 100 AS VARCHAR), 2, '0') AS text
+    FROM (SELECT *, CAST(abs(amount) // 100 AS VARCHAR) AS w FROM bank_lines) t""",
+    "bank_lines",
+)
+def fmt_inr(v):
+    return v("bank_lines").select("line_id", S.fmt_inr("amount").alias("text"))
+
+
+ORACLES["fmt_inr"] = ORACLES["fmt_inr"].replace("'(\\d\\d)', '\\1,', 'g')) || ','", "'(\\d\\d)', '\\1,', 'g')) || ','").replace("SELECT line_id, CASE WHEN amount < 0", "SELECT line_id, replace(CASE WHEN amount < 0").replace("2, '0') AS text", "2, '0'), '₹,', '₹') AS text")
+
+
+DATES = "CASE k % 6 WHEN 0 THEN strftime(doc_date, '%Y-%m-%d') WHEN 1 THEN strftime(doc_date, '%d/%m/%Y') WHEN 2 THEN strftime(doc_date, '%d-%m-%Y') WHEN 3 THEN strftime(doc_date, '%Y-%m-%d') || 'T10:00:00+05:30' WHEN 4 THEN 'soon' ELSE strftime(doc_date, '%d-%m-%y') END"
+
+
+@query(rf"SELECT doc_id, {DATES} AS raw, CASE WHEN k % 6 <> 4 THEN CAST(doc_date AS VARCHAR) END AS parsed FROM ar_docs", "ar_docs")
+def date_parse_multi(v):
+    f = lambda p: F.date_format("doc_date", p)
+    k = F.col("k") % 6
+    raw = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("dd/MM/yyyy")).when(k == 2, f("dd-MM-yyyy")).when(k == 3, F.concat(f("yyyy-MM-dd"), F.lit("T10:00:00+05:30"))).when(k == 4, "soon").otherwise(f("dd-MM-yy"))
+    # two-digit years are read as 20yy
+    d = v("ar_docs").select("doc_id", raw.alias("raw"), (k == 5).alias("short"))
+    p = S.parse_date("raw")
+    return d.select("doc_id", "raw", F.when(F.col("short") & (F.year(p) >= 2050), F.add_months(p, -1200)).otherwise(p).cast("string").alias("parsed"))
+
+
+@query(f"SELECT doc_id, array_to_string({NORM.format('counterparty')}, ' ') AS name FROM docs", "docs")
+def norm_name(v):
+    return v("docs").select("doc_id", S.norm_name("counterparty").alias("name"))
+
+
+@query("SELECT doc_id, regexp_replace(upper(number), '[^A-Z0-9]', '', 'g') AS key FROM docs", "docs")
+def doc_key(v):
+    return v("docs").select("doc_id", S.doc_key("number").alias("key"))
+
+
+@query(f"SELECT line_id, array_to_string(list_sort({TOKENS}), ';') AS tokens FROM bank_lines", "bank_lines")
+def invoice_tokens(v):
+    return v("bank_lines").select("line_id", F.array_join(F.array_sort(S.invoice_tokens("narration")), ";").alias("tokens"))
+
+
+@query(r"SELECT line_id, coalesce(nullif(regexp_extract(narration, '(?i)\b(?:UTR|NUTR|SICN|CIBN|UTI|OTH)\s*[:\-]?\s*(\d{12,17})\b', 1), ''), nullif(regexp_extract(narration, '\b(\d{16,17})\b', 1), '')) AS utr FROM bank_lines", "bank_lines")
+def extract_utr(v):
+    return v("bank_lines").select("line_id", S.extract_utr("narration").alias("utr"))
+
+
+@query(f"SELECT line_id, {KIND} AS kind FROM bank_lines", "bank_lines")
+def narration_kind(v):
+    return v("bank_lines").select("line_id", S.narration_kind("narration").alias("kind"))
+
+
+@query(f"SELECT line_id, array_to_string({TAGS}, ';') AS tags FROM bank_lines", "bank_lines")
+def purpose_tags(v):
+    return v("bank_lines").select("line_id", F.array_join(S.purpose_tags("narration"), ";").alias("tags"))
+
+
+@query(f"SELECT line_id, {HINT} AS hint FROM bank_lines", "bank_lines")
+def counterparty_hint(v):
+    return v("bank_lines").select("line_id", S.counterparty_hint("narration").alias("hint"))
+
+
+@query(r"SELECT line_id, lower(nullif(regexp_extract(narration, '\b[\w.\-]{2,64}@[\w]{2,64}\b', 0), '')) AS handle, array_to_string(regexp_extract_all(narration, '\b((?:pay|order|setl|fund|sign|token)_[0-9a-zA-Z]{8,})\b', 1), ';') AS refs FROM bank_lines", "bank_lines")
+def narration_extractors(v):
+    return v("bank_lines").select("line_id", S.upi_handle("narration").alias("handle"), F.array_join(S.gateway_refs("narration"), ";").alias("refs"))
+
+
+TOKS = f"list_distinct(list_filter(string_split({{}}, ' '), lambda w: NOT list_contains({FILLER}, w) AND length(w) > 1))"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT {HINT} AS a, array_to_string({NORM.format("counterparty")}, ' ') AS b FROM ar_lines l JOIN ar_docs d ON l.doc_id = d.doc_id),
+    t AS (SELECT a, b, {TOKS.format("a")} AS x, {TOKS.format("b")} AS y FROM p), n AS (SELECT *, len(list_intersect(x, y)) AS c FROM t)
+    SELECT a, b, round(CASE WHEN c > 0 THEN 0.85::DOUBLE * c / least(len(x), len(y)) + 0.15::DOUBLE * c / (len(x) + len(y) - c) ELSE 0.0 END, 6) AS overlap FROM n""",
+    "ar_lines", "ar_docs",
+)
+def token_overlap(v):
+    j = v("ar_lines").select("doc_id", S.counterparty_hint("narration").alias("a")).join(v("ar_docs").select("doc_id", S.norm_name("counterparty").alias("b")), "doc_id")
+    return j.select("a", "b").distinct().select("a", "b", F.round(S.token_overlap(S.name_tokens("a"), S.name_tokens("b")), 6).alias("overlap"))
+
+
+@query()
+def name_similarity(v):
+    j = v("ar_lines").select("doc_id", S.counterparty_hint("narration").alias("a")).join(v("ar_docs").select("doc_id", S.norm_name("counterparty").alias("b")), "doc_id")
+    return with_similarity(j.select("a", "b").distinct(), "a", "b").select("a", "b", F.round("sim", 6).alias("similarity"))
+
+
+# tiers
+
+@query("SELECT line_id, anchor, amount FROM (SELECT line_id, amount, row_number() OVER w AS rn, first_value(line_id) OVER w AS anchor FROM bank_lines WHERE utr IS NOT NULL WINDOW w AS (PARTITION BY utr, abs(amount) ORDER BY seq)) t WHERE rn > 1", "bank_lines")
+def t0_utr_duplicates(v):
+    return R.t0_utr_duplicates(v("bank_lines"))
+
+
+@query(
+    f"""WITH RECURSIVE x AS (SELECT seq, line_id, txn_date, amount, array_to_string({NORM.format("h")}, ' ') AS name, sign(amount) AS sg FROM (SELECT *, {HINT} AS h FROM bank_lines WHERE utr IS NULL) t),
+    k AS (SELECT *, row_number() OVER (PARTITION BY name, abs(amount), sg ORDER BY seq) AS rn FROM x),
+    f AS (SELECT name, abs(amount) AS size, sg, rn, line_id, amount, txn_date AS at, line_id AS anchor, false AS dup FROM k WHERE rn = 1
+      UNION ALL SELECT f.name, f.size, f.sg, k.rn, k.line_id, k.amount, CASE WHEN abs(k.txn_date - f.at) <= 3 THEN f.at ELSE k.txn_date END, CASE WHEN abs(k.txn_date - f.at) <= 3 THEN f.anchor ELSE k.line_id END, abs(k.txn_date - f.at) <= 3
+      FROM f JOIN k ON k.name = f.name AND abs(k.amount) = f.size AND k.sg = f.sg AND k.rn = f.rn + 1)
+    SELECT line_id, anchor, amount FROM f WHERE dup""",
+    "bank_lines",
+)
+def t0_suspected_duplicates(v):
+    return R.t0_suspected_duplicates(v("bank_lines"))
+
+
+ORACLES["t0_suspected_duplicates"] = "WITH RECURSIVE " + ORACLES["t0_suspected_duplicates"].removeprefix("WITH ").replace(",\nRECURSIVE x AS", ",\nx AS")
+
+
+@query(
+    """WITH s AS (SELECT payout_utr AS utr, max_by(settlement_id, seq) AS sid FROM settlements WHERE payout_utr IS NOT NULL GROUP BY 1),
+    a AS (SELECT l.seq, l.line_id, l.amount, s.sid FROM bank_lines l JOIN s ON l.utr = s.utr WHERE l.amount > 0),
+    b AS (SELECT l.seq, l.line_id, l.amount, min_by(t.settlement_id, t.seq) AS sid FROM bank_lines l JOIN settlements t ON lower(t.settlement_id) = regexp_extract(lower(l.narration), 'setl_[0-9a-z_-]+', 0) WHERE l.amount > 0 AND (l.utr IS NULL OR l.utr NOT IN (SELECT utr FROM s)) GROUP BY 1, 2, 3),
+    u AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY seq) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b) t)
+    SELECT line_id, settlement_id, abs(amount) - net AS diff FROM u JOIN settlements ON sid = settlement_id WHERE rn = 1""",
+    "bank_lines", "settlements",
+)
+def t1_settlement_credit(v):
+    return R.t1_settlement_credit(v("bank_lines"), v("settlements"))
+
+
+@query(
+    f"""WITH d AS (SELECT *, regexp_replace(upper(number), '[^A-Z0-9]', '', 'g') AS key FROM docs),
+    a AS (SELECT utr, min_by(regexp_replace(upper(invoice_no), '[^A-Z0-9]', '', 'g'), seq) AS key FROM advices WHERE invoice_no IS NOT NULL AND regexp_replace(upper(invoice_no), '[^A-Z0-9]', '', 'g') IN (SELECT key FROM d) GROUP BY 1)
+    SELECT l.line_id, array_to_string(list(d.doc_id ORDER BY d.seq)[1:4], ';') AS doc_ids, CAST(l.amount - sum(d.amount) AS BIGINT) AS diff
+    FROM bank_lines l JOIN a ON l.utr = a.utr JOIN d ON d.key = a.key WHERE {_window("utr")} GROUP BY l.line_id, l.amount""",
+    "bank_lines", "advices", "docs",
+)
+def t2_advice(v):
+    return R.t2_advice(v("bank_lines"), v("advices"), v("docs")).withColumn("doc_ids", F.array_join("doc_ids", ";"))
+
+
+@query(
+    f"""WITH q AS (SELECT DISTINCT line_id, regexp_replace(t, '[^A-Z0-9]', '', 'g') AS key FROM (SELECT line_id, unnest({TOKENS}) AS t FROM bank_lines) x),
+    h AS (SELECT l.line_id, abs(l.amount) AS size, d.doc_id, d.seq, d.amount, d.kind = CASE WHEN l.amount > 0 THEN 'AR' ELSE 'AP' END AND (l.txn_date - d.due_date) BETWEEN -45 AND 150 AND (l.txn_date - d.doc_date) >= -2 AS ok
+      FROM q JOIN bank_lines l ON q.line_id = l.line_id JOIN docs d ON regexp_replace(upper(d.number), '[^A-Z0-9]', '', 'g') = q.key)
+    SELECT line_id, CASE WHEN count(*) FILTER (ok) > 0 THEN 'MATCHED' ELSE 'DOC_REF_OUTSIDE_WINDOW' END AS status, array_to_string((list(doc_id ORDER BY seq) FILTER (ok))[1:8], ';') AS doc_ids, CAST(size - sum(amount) FILTER (ok) AS BIGINT) AS diff FROM h GROUP BY line_id, size""",
+    "bank_lines", "docs",
+)
+def t3_doc_number(v):
+    return R.t3_doc_number(v("bank_lines"), v("docs")).withColumn("doc_ids", F.array_join("doc_ids", ";"))
+
+
+SIDE = "d.kind = CASE WHEN l.amount > 0 THEN 'AR' ELSE 'AP' END"
+
+
+@query(f"SELECT l.line_id, d.doc_id FROM bank_lines l JOIN docs d ON d.amount = abs(l.amount) AND {SIDE} WHERE {_window('amount_exact')}", "bank_lines", "docs")
+def t4_amount_exact(v):
+    return R.t4_candidates(v("bank_lines"), v("docs")).select(F.col("l_line_id").alias("line_id"), F.col("d_doc_id").alias("doc_id"))
+
+
+@query(f"SELECT l.line_id, d.doc_id FROM bank_lines l JOIN docs d ON {SIDE} AND d.amount BETWEEN abs(l.amount) - {TOL.format('l.amount')} AND abs(l.amount) + {TOL.format('l.amount')} AND d.due_date BETWEEN l.txn_date - 3000 AND l.txn_date + 3000 WHERE {_window('amount_plus_name')}", "bank_lines", "docs")
+def t5_range_candidates(v):
+    return R.t5_candidates(v("bank_lines"), v("docs")).select(F.col("l_line_id").alias("line_id"), F.col("d_doc_id").alias("doc_id"))
+
+
+@query()
+def t6_token_candidates(v):
+    return R.t6_candidates(v("ar_lines").drop("k", "doc_id"), v("docs")).groupBy(F.col("l_line_id").alias("line_id")).agg(F.count("*").alias("n"), F.min("d_doc_id").alias("first"))
+
+
+@query(
+    """WITH g AS (SELECT party_code, (list(amount ORDER BY seq))[1:10] AS vs FROM ar_docs GROUP BY 1), t AS (SELECT *, coalesce(vs[2], 0) + coalesce(vs[5], 0) + coalesce(vs[7], 0) AS t FROM g WHERE len(vs) >= 2),
+    m AS (SELECT party_code, t, mask, list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN (mask >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN vs[i] ELSE 0 END)) AS s FROM t, unnest(range(1, 1 << len(vs))) u(mask))
+    SELECT party_code, count(*) AS n, CAST(min(mask) AS INTEGER) AS first_mask FROM m WHERE s = t AND bit_count(mask) BETWEEN 2 AND 6 GROUP BY 1""",
+    "ar_docs",
+)
+def subset_sum(v):
+    from pyspark.sql import Window
+
+    d = v("ar_docs").withColumn("i", F.row_number().over(Window.partitionBy("party_code").orderBy("seq")) - 1).where("i < 10")
+    g = d.groupBy("party_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "amount"))), lambda x: x["amount"]).alias("v"), F.sum(F.when(F.col("i").isin(1, 4, 6), F.col("amount"))).alias("t"))
+    g = g.withColumn("m", R.subset_sums("v", "t")).where("size(m) > 0")
+    return g.select("party_code", F.size("m").cast("long").alias("n"), F.array_min("m").alias("first_mask"))
+
+
+
+@query()
+def t7_greedy_assignment(v):
+    won = R.greedy_assignment(R.t7_candidates(v("ar_lines").drop("k", "doc_id"), v("docs")), store=checkpointed)
+    return won.select(F.col("l_line_id").alias("line_id"), F.col("d_doc_id").alias("doc_id"), "score")
+
+
+@query()
+def t8_single_candidate(v):
+    return R.t8_single_candidates(v("ar_lines").drop("k", "doc_id"), v("docs"))
+
+
+@query()
+def residual_pool(v):
+    pool = R.residual_pool(v("ar_lines").where("k % 17 = 0").select("line_id", "doc_id"), v("bank_lines").withColumn("amount", F.col("amount") * 2), v("docs"))
+    return R.residual_allocation(pool).withColumn("doc_ids", F.array_join("doc_ids", ";"))
+
+
+CODE = "CASE WHEN list_contains(g, 'CHARGE') OR k = 'BANK_CHARGE' THEN 'BANK_CHARGE_NO_DOCUMENT' WHEN list_contains(g, 'INTEREST') OR k = 'INTEREST' THEN 'BANK_INTEREST_NO_DOCUMENT' WHEN list_contains(g, 'REVERSAL') OR k = 'REVERSAL' THEN 'REVERSAL_OR_RETURN' WHEN amount > 0 THEN 'UNALLOCATED_CREDIT' ELSE 'UNMATCHED_DEBIT' END"
+
+
+@query(f"SELECT line_id, code, CASE WHEN code IN ('UNALLOCATED_CREDIT', 'UNMATCHED_DEBIT') THEN 'high' WHEN code = 'REVERSAL_OR_RETURN' THEN 'medium' ELSE 'low' END AS severity, amount FROM (SELECT line_id, amount, {CODE} AS code FROM (SELECT *, {TAGS} AS g, {KIND} AS k FROM bank_lines) a) b", "bank_lines")
+def classify_unresolved(v):
+    return R.classify_unresolved(v("bank_lines"))
+
+
+@query(f"SELECT doc_id, CAST({SQL_DAY} - due_date AS INTEGER) AS days_overdue, CASE WHEN {SQL_DAY} - due_date > 45 THEN 'high' ELSE 'medium' END AS severity, greatest(0, amount) - paid AS outstanding FROM docs WHERE kind = 'AR' AND {SQL_DAY} > due_date AND greatest(0, amount) - paid > 0 AND doc_id NOT IN (SELECT doc_id FROM cleared)", "docs", "cleared")
+def overdue_ar(v):
+    return R.overdue_ar(v("docs").join(v("cleared"), "doc_id", "left_anti"), day())
+
+
+@query()
+def reconcile_ladder(v):
+    matches, _ = reconcile(v("bank_lines"), v("docs"), v("advices"), v("settlements"), strategy="exact")
+    return matches.select("line_id", F.array_join("doc_ids", ";").alias("doc_ids"), "tier", "diff", "confidence", "auto_post")
+
+
+# settlements
+
+EXPECTED = """p AS (SELECT settlement_id AS id, count(*) AS n_payments, sum(CAST(trunc(amount * CAST(CASE lower(method) WHEN 'upi_qr' THEN 0.0 WHEN 'netbanking' THEN 0.009 ELSE 0.02 END AS DOUBLE)) AS BIGINT)) AS fee_sum FROM payments WHERE settlement_id IS NOT NULL GROUP BY 1),
+    r AS (SELECT settlement_id AS id, sum(amount) AS refunds FROM refunds WHERE settlement_id IS NOT NULL GROUP BY 1),
+    e1 AS (SELECT s.*, coalesce(n_payments, 0) AS n_payments, CAST(coalesce(r.refunds, 0) AS BIGINT) AS refunds, CAST(coalesce(fee_sum, trunc(gross * 0.02::DOUBLE)) AS BIGINT) AS exp_fee FROM settlements s LEFT JOIN p ON p.id = settlement_id LEFT JOIN r ON r.id = settlement_id),
+    e2 AS (SELECT *, CAST(trunc(gross * 0.00001::DOUBLE) AS BIGINT) AS exp_tmn FROM e1),
+    e3 AS (SELECT *, CAST(trunc((exp_fee + exp_tmn) * 0.18::DOUBLE) AS BIGINT) AS exp_gst, CAST(trunc(exp_fee * 0.02::DOUBLE) AS BIGINT) AS exp_tds FROM e2),
+    e AS (SELECT *, gross - exp_fee - exp_tmn - exp_gst - exp_tds - refunds AS exp_net FROM e3)"""
+FLAGGED = EXPECTED + f""",
+    c AS (SELECT k.settlement_id AS id, max(l.amount) AS credited FROM links k JOIN bank_lines l ON l.line_id = k.line_id GROUP BY 1),
+    b AS (SELECT e.*, credited FROM e LEFT JOIN c ON c.id = settlement_id),
+    f AS (SELECT *, list_filter([CASE WHEN abs(fee - exp_fee) > greatest(200, CAST(trunc(exp_fee * 0.005::DOUBLE) AS BIGINT)) THEN 'FEE_TIER_MISMATCH' END, CASE WHEN abs(gst - exp_gst) > 200 OR abs(tds - exp_tds) > 200 THEN 'FEE_COMPONENT_MISMATCH' END,
+      CASE WHEN abs(gross - fee - tmn - gst - tds - refunds - net) > 200 THEN 'BATCH_ARITHMETIC' END, CASE WHEN credited IS NULL AND settled_on <= {SQL_DAY} THEN 'NOT_CREDITED' END, CASE WHEN abs(credited - net) > 200 THEN 'CREDIT_AMOUNT_MISMATCH' END], lambda x: x IS NOT NULL) AS flags FROM b)"""
+CLAIMED = FLAGGED + """,
+    g AS (SELECT *, fee - exp_fee AS overbilled, gross - fee - tmn - gst - tds - refunds - net AS unexplained, greatest(0, gst - exp_gst) + greatest(0, tds - exp_tds) AS component_overbill, CASE WHEN credited IS NULL THEN 0 ELSE greatest(0, exp_net - credited) END AS undercredited, CASE WHEN credited IS NULL THEN 0 ELSE net - credited END AS credit_gap FROM f),
+    h AS (SELECT *, greatest(0, overbilled) + component_overbill AS rate_card_claim FROM g),
+    i AS (SELECT *, abs(unexplained) + greatest(rate_card_claim, undercredited) AS recoverable, greatest(abs(unexplained) + rate_card_claim, undercredited) AS recoverable_dedup FROM h)"""
+BOOKS = ("payments", "refunds", "settlements", "links", "bank_lines")
+
+
+def _expected(v):
+    return V.batch_expected(v("settlements"), v("payments"), v("refunds"))
+
+
+def _flagged(v):
+    return V.batch_flags(V.with_credits(_expected(v), v("links"), v("bank_lines")), day())
+
+
+@query("WITH " + EXPECTED + " SELECT settlement_id, n_payments, refunds, exp_fee, exp_tmn, exp_gst, exp_tds, exp_net FROM e", "payments", "refunds", "settlements")
+def batch_expected(v):
+    return _expected(v).select("settlement_id", "n_payments", "refunds", "exp_fee", "exp_tmn", "exp_gst", "exp_tds", "exp_net")
+
+
+@query("WITH " + FLAGGED + " SELECT settlement_id, fee, exp_fee, net, exp_net, credited, array_to_string(flags, ';') AS flags FROM f", *BOOKS)
+def batch_flags(v):
+    return _flagged(v).select("settlement_id", "fee", "exp_fee", "net", "exp_net", "credited", F.array_join("flags", ";").alias("flags"))
+
+
+@query("WITH " + CLAIMED + " SELECT settlement_id, overbilled, unexplained, component_overbill, undercredited, credit_gap, rate_card_claim, recoverable, recoverable_dedup FROM i", *BOOKS)
+def batch_claims(v):
+    return V.batch_claims(_flagged(v)).select("settlement_id", "overbilled", "unexplained", "component_overbill", "undercredited", "credit_gap", "rate_card_claim", "recoverable", "recoverable_dedup")
+
+
+@query("WITH " + CLAIMED + " SELECT count(*) AS batches, count(*) FILTER (len(flags) > 0) AS flagged, " + ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}_sum" for n in ["gross", "fee", "exp_fee", "net", "exp_net", "overbilled", "undercredited", "recoverable", "recoverable_dedup"]) + ", " + ", ".join(f"count(*) FILTER (list_contains(flags, '{n}')) AS {n.lower()}" for n in ["FEE_TIER_MISMATCH", "FEE_COMPONENT_MISMATCH", "BATCH_ARITHMETIC", "NOT_CREDITED", "CREDIT_AMOUNT_MISMATCH"]) + " FROM i", *BOOKS)
+def verify_summary(v):
+    return V.verify_summary(V.batch_claims(_flagged(v)))
+
+
+@query(f"WITH u AS (SELECT payment_id, amount FROM payments WHERE settlement_id IS NULL AND captured_on + 4 < {SQL_DAY}) SELECT count(*) AS n, CAST(coalesce(sum(amount), 0) AS BIGINT) AS amount, (SELECT string_agg(payment_id, ';' ORDER BY payment_id) FROM (SELECT payment_id FROM u ORDER BY payment_id LIMIT 5) t) AS first_ids FROM u", "payments")
+def unsettled_payments(v):
+    return V.unsettled_payments(v("payments"), day())
+
+
+@query("SELECT CAST(settled_on AS VARCHAR) AS settled_on, CAST(previous AS VARCHAR) AS previous, CAST(settled_on - previous AS INTEGER) AS gap_days FROM (SELECT settled_on, lag(settled_on) OVER (ORDER BY settled_on) AS previous FROM (SELECT DISTINCT settled_on FROM settlements WHERE day(settled_on) > 8) d) t WHERE settled_on - previous > 5", "settlements")
+def settlement_gaps(v):
+    return texts(V.settlement_gaps(v("settlements").where(F.dayofmonth("settled_on") > 8)))
+
+
+@query(f"SELECT refund_id, amount, CAST(created_on AS VARCHAR) AS created_on FROM refunds WHERE settlement_id IS NULL AND created_on + 4 < {SQL_DAY}", "refunds")
+def orphan_refunds(v):
+    return texts(V.orphan_refunds(v("refunds"), day()))
+
+
+# forecast
+
+@query("SELECT CAST(txn_date AS VARCHAR) AS day, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS BIGINT) AS inflow, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS BIGINT) AS outflow FROM bank_lines GROUP BY 1", "bank_lines")
+def flows_by_day(v):
+    return texts(C.flows_by_day(v("bank_lines")))
+
+
+def _index_sql(bucket: str, first: int, last: int) -> str:
+    return f"""WITH f AS (SELECT txn_date AS day, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS v FROM bank_lines GROUP BY 1),
+    b AS (SELECT CAST({bucket} AS INTEGER) AS bucket, avg(v) AS m, count(*) AS n FROM f GROUP BY 1), o AS (SELECT avg(v) AS m FROM f),
+    r AS (SELECT CAST(x AS INTEGER) AS bucket, 1 + coalesce(n, 0) / (coalesce(n, 0) + 8.0::DOUBLE) * (coalesce(b.m / o.m, 1) - 1) AS raw FROM range({first}, {last + 1}) t(x) CROSS JOIN o LEFT JOIN b ON b.bucket = x)
+    SELECT bucket, round(raw / avg(raw) OVER (), 4) AS idx FROM r"""
+
+
+@query(_index_sql("isodow(day) - 1", 0, 6), "bank_lines")
+def weekday_index(v):
+    return C.weekday_index(C.flows_by_day(v("bank_lines")))
+
+
+@query(_index_sql("month(day)", 1, 12), "bank_lines")
+def month_index(v):
+    return C.month_index(C.flows_by_day(v("bank_lines")))
+
+
+BEHAVE = f"""k AS (SELECT d.*, c.cleared_on, CAST(c.cleared_on - d.due_date AS INTEGER) AS delay, c.cleared_on IS NULL AND d.amount - d.paid > 100 AS op FROM docs d LEFT JOIN (SELECT * FROM cleared WHERE cleared_on <= {SQL_DAY}) c ON c.doc_id = d.doc_id WHERE d.doc_date <= {SQL_DAY}),
+    g AS (SELECT kind, party_code, count(cleared_on) AS n_cleared, count(*) FILTER (op) AS n_open, count(*) FILTER (op AND due_date + 45 <= {SQL_DAY}) AS n_aged, list(delay ORDER BY delay) FILTER (delay IS NOT NULL) AS ds FROM k GROUP BY 1, 2),
+    beh AS (SELECT kind, party_code, n_cleared, n_open, n_aged, coalesce(ds[len(ds) // 2 + 1], 0) AS median_delay, CASE WHEN n_cleared + n_aged = 0 THEN 0.95::DOUBLE ELSE least(0.995::DOUBLE, (n_cleared + 1) / CAST(n_cleared + n_aged + 2 AS DOUBLE)) END AS p_paid,
+      CASE WHEN n_open + n_cleared > 0 THEN n_open / CAST(n_open + n_cleared AS DOUBLE) ELSE 0.0 END AS share_uncleared FROM g)"""
+
+
+@query("WITH " + BEHAVE + " SELECT kind, party_code, n_cleared, n_open, n_aged, median_delay, round(p_paid, 6) AS p_paid, round(share_uncleared, 6) AS share_uncleared FROM beh", "docs", "cleared")
+def party_behaviour(v):
+    b = C.party_behaviour(v("docs"), v("cleared"), day())
+    return b.withColumns({"p_paid": F.round("p_paid", 6), "share_uncleared": F.round("share_uncleared", 6)})
+
+
+COUNTS = f"""cnt AS (SELECT d.kind, d.party_code, greatest(-45, least(120, CAST(c.cleared_on - d.due_date AS INTEGER))) AS delay, count(*) AS c FROM docs d JOIN cleared c ON c.doc_id = d.doc_id WHERE c.cleared_on <= {SQL_DAY} GROUP BY 1, 2, 3),
+    off AS (SELECT kind, party_code, CAST(delay + o AS INTEGER) AS bin, sum(c * exp(-0.5::DOUBLE * pow(o / 5.0::DOUBLE, 2))) AS q FROM cnt, range(-15, 16) t(o) WHERE delay + o BETWEEN -45 AND 120 GROUP BY 1, 2, 3),
+    dens AS (SELECT kind, party_code, bin, q / sum(q) OVER (PARTITION BY kind, party_code) AS q FROM off)"""
+PMF = COUNTS + """,
+    gl AS (SELECT bin, sum(q) AS q FROM off GROUP BY 1), gd AS (SELECT bin, q / sum(q) OVER () AS q FROM gl), np AS (SELECT kind, party_code, sum(c) AS n FROM cnt GROUP BY 1, 2),
+    raw AS (SELECT np.kind, np.party_code, CAST(b AS INTEGER) AS bin, n / (n + 8.0::DOUBLE) * coalesce(d.q, 0) + (1 - n / (n + 8.0::DOUBLE)) * coalesce(gd.q, 0) + 0.0015::DOUBLE / 166 AS r
+      FROM np CROSS JOIN range(-45, 121) t(b) LEFT JOIN dens d ON d.kind = np.kind AND d.party_code = np.party_code AND d.bin = b LEFT JOIN gd ON gd.bin = b),
+    pmf AS (SELECT kind, party_code, bin, r / sum(r) OVER (PARTITION BY kind, party_code) AS q FROM raw)"""
+
+
+@query("WITH " + COUNTS + " SELECT kind, party_code, bin, round(q, 6) AS q FROM dens", "docs", "cleared")
+def delay_density(v):
+    return C.delay_density(C.delay_counts(v("docs"), v("cleared"), day()), ["kind", "party_code"]).withColumn("q", F.round("q", 6))
+
+
+@query("WITH " + PMF + " SELECT kind, party_code, bin, round(q, 6) AS q FROM pmf", "docs", "cleared")
+def delay_pmf(v):
+    p = C.delay_pmf(C.delay_counts(v("docs"), v("cleared"), day())).select("kind", "party_code", F.posexplode("pmf").alias("i", "q"))
+    return p.select("kind", "party_code", (F.col("i") + C.LOW).alias("bin"), F.round("q", 6).alias("q"))
+
+
+def _profiles(v):
+    docs, cleared = v("docs"), v("cleared").where(F.col("cleared_on") <= day())
+    b = C.party_behaviour(docs, cleared, day()).select("kind", "party_code", "p_paid")
+    pmf = C.delay_pmf(C.delay_counts(docs, cleared, day()))
+    open_ = docs.where(F.col("doc_date") <= day()).join(cleared, "doc_id", "left_anti").withColumn("outstanding", F.col("amount") - F.col("paid"))
+    return C.expected_profile(open_.join(b, ["kind", "party_code"]).join(pmf, ["kind", "party_code"]), day(), H)
+
+
+PROFILE = BEHAVE + ",\n" + PMF + f""",
+    op AS (SELECT d.doc_id, d.kind, d.party_code, d.amount - d.paid AS outstanding, CAST({SQL_DAY} - d.due_date AS INTEGER) AS age, p_paid FROM docs d JOIN beh ON beh.kind = d.kind AND beh.party_code = d.party_code
+      WHERE d.doc_date <= {SQL_DAY} AND d.doc_id NOT IN (SELECT doc_id FROM cleared WHERE cleared_on <= {SQL_DAY}) AND EXISTS (SELECT 1 FROM np WHERE np.kind = d.kind AND np.party_code = d.party_code)),
+    cum AS (SELECT kind, party_code, bin, q, sum(q) OVER (PARTITION BY kind, party_code ORDER BY bin DESC) - q AS above FROM pmf),
+    tl AS (SELECT op.*, CASE WHEN age >= 120 THEN 0 WHEN age < -45 THEN 1 ELSE above END AS tail FROM op LEFT JOIN cum ON cum.kind = op.kind AND cum.party_code = op.party_code AND cum.bin = age),
+    br AS (SELECT *, p_paid * tail + 1 - p_paid AS den, CASE WHEN outstanding <= 100 THEN 'dust' WHEN age < -75 THEN 'beyond' WHEN age >= 120 THEN 'hazard' WHEN p_paid * tail + 1 - p_paid <= 1e-9 THEN 'starved' ELSE 'pmf' END AS branch FROM tl),
+    dy AS (SELECT CAST(i AS INTEGER) AS i, isodow({SQL_DAY} + CAST(i AS INTEGER)) = 7 AS sun, (SELECT count(*) FROM range(1, 31) u(j) WHERE j < i AND isodow({SQL_DAY} + CAST(j AS INTEGER)) <> 7) AS before FROM range(1, 31) t(i)),
+    pr AS (SELECT br.doc_id, br.kind, br.outstanding, br.branch, br.age, dy.i, CASE br.branch WHEN 'hazard' THEN CASE WHEN sun THEN 0 ELSE p_paid * 0.012::DOUBLE * pow(0.988::DOUBLE, before) END WHEN 'pmf' THEN p_paid * coalesce(pmf.q, 0) / den ELSE 0 END AS p
+      FROM br CROSS JOIN dy LEFT JOIN pmf ON pmf.kind = br.kind AND pmf.party_code = br.party_code AND pmf.bin = br.age + dy.i)"""
+
+
+@query("WITH " + PROFILE + " SELECT doc_id, branch, round(sum(p), 5) AS total, round(max(p) FILTER (i = 1), 5) AS first_day, round(max(p) FILTER (i = 30), 5) AS last_day FROM pr GROUP BY 1, 2", "docs", "cleared")
+def expected_profile(v):
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    return _profiles(v).select("doc_id", "branch", F.round(total, 5).alias("total"), F.round(F.get("p", 0), 5).alias("first_day"), F.round(F.get("p", H - 1), 5).alias("last_day"))
+
+
+@query()
+def weekday_redistribute(v):
+    p = C.weekday_redistribute(_profiles(v), day(), C.weekday_index(C.flows_by_day(v("bank_lines"))))
+    return p.select("doc_id", "branch", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.get("p", 0), 5).alias("first_day"))
+
+
+def _path(v):
+    return C.cash_path(C.expected_flows(_profiles(v), day()), OPENING)
+
+
+@query()
+def cash_path(v):
+    return _path(v)
+
+
+@query()
+def horizon_summary(v):
+    return C.horizon_summary(_path(v), OPENING)
+
+
+@query()
+def mc_bands(v):
+    return C.monte_carlo(_profiles(v), day(), H, OPENING, runs=50)
+
+
+@query(
+    f"""WITH p AS (SELECT CAST(coalesce(sum(amount), 0) AS BIGINT) AS gross, count(DISTINCT captured_on) AS active_days FROM payments WHERE captured_on <= {SQL_DAY} AND captured_on > {SQL_DAY} - 28),
+    s AS (SELECT CAST(coalesce(sum(net), 0) AS BIGINT) AS net FROM settlements WHERE settled_on <= {SQL_DAY} AND settled_on > {SQL_DAY} - 28),
+    g AS (SELECT list(CAST(s.settled_on - p.captured_on AS INTEGER) ORDER BY s.settled_on - p.captured_on) AS ds FROM payments p JOIN settlements s ON p.settlement_id = s.settlement_id WHERE captured_on <= {SQL_DAY} AND captured_on > {SQL_DAY} - 28 AND s.settled_on >= p.captured_on)
+    SELECT gross, net, round(net / CAST(gross AS DOUBLE), 4) AS ratio, active_days, CAST(trunc(gross / CAST(active_days AS DOUBLE)) AS BIGINT) AS daily_gross, ds[len(ds) // 2 + 1] AS lag FROM p, s, g""",
+    "payments", "settlements",
+)
+def gateway_projection(v):
+    return C.gateway_projection(v("payments"), v("settlements"), day())
+
+
+CHURN = f"ch AS (SELECT CAST(({SQL_DAY} - cleared_on) // 30 AS INTEGER) AS w, kind, amount, doc_date > {SQL_DAY} - CAST((({SQL_DAY} - cleared_on) // 30 + 1) * 30 AS INTEGER) AS inside FROM docs JOIN cleared ON docs.doc_id = cleared.doc_id WHERE cleared_on <= {SQL_DAY} AND ({SQL_DAY} - cleared_on) // 30 < 4)"
+
+
+@query(f"WITH {CHURN} SELECT w AS \"window\", kind, CAST(sum(CASE WHEN inside THEN amount ELSE 0 END) AS BIGINT) AS churn, CAST(sum(CASE WHEN inside THEN 0 ELSE amount END) AS BIGINT) AS moved FROM ch GROUP BY 1, 2", "docs", "cleared")
+def same_window_churn(v):
+    return C.same_window_churn(v("docs"), v("cleared"), day(), H)
+
+
+@query(f"WITH {CHURN}, z AS (SELECT w, kind, sum(CASE WHEN inside THEN amount ELSE 0 END) AS churn, CAST([0.5, 0.25, 0.15, 0.10][w + 1] AS DOUBLE) AS f FROM ch GROUP BY 1, 2) SELECT kind, CAST(trunc(sum(churn * f) / sum(f)) AS BIGINT) AS expected FROM z GROUP BY 1", "docs", "cleared")
+def prospective(v):
+    return C.prospective(C.same_window_churn(v("docs"), v("cleared"), day(), H))
+
+
+@query(
+    f"""WITH f AS (SELECT txn_date AS day, CAST(sum(amount) AS BIGINT) AS net FROM bank_lines WHERE txn_date <= {SQL_DAY} GROUP BY 1), d AS (SELECT {SQL_DAY} + CAST(i AS INTEGER) AS day FROM range(1, 31) t(i)),
+    s AS (SELECT d.day, round(avg(f.net), 2) AS seasonal FROM d CROSS JOIN range(1, 9) t(k) LEFT JOIN f ON f.day = d.day - CAST(k * 7 AS INTEGER) GROUP BY 1), m AS (SELECT round(avg(net), 2) AS moving FROM f WHERE day > {SQL_DAY} - 28),
+    u AS (SELECT due_date AS day, CAST(sum(CASE WHEN kind = 'AR' THEN amount ELSE -amount END) AS BIGINT) AS due FROM docs GROUP BY 1) SELECT CAST(s.day AS VARCHAR) AS day, seasonal, moving, coalesce(due, 0) AS due FROM s CROSS JOIN m LEFT JOIN u ON u.day = s.day""",
+    "bank_lines", "docs",
+)
+def naive_baselines(v):
+    return texts(C.naive_baselines(C.flows_by_day(v("bank_lines")), v("docs"), day(), H))
+
+
+# evaluation
+
+def _claims(v):
+    """Matches of the document-number tier, against what the books know to be true."""
+    m = R.t3_doc_number(v("bank_lines"), v("docs")).where("status = 'MATCHED'")
+    return m.select("line_id", "doc_ids", F.lit("t3").alias("tier"), (F.abs("diff") <= 100).alias("auto_post")), v("truth").select("line_id", F.array("doc_id").alias("doc_ids"), "kind", "amount")
+
+
+JUDGED = f"""q AS (SELECT DISTINCT line_id, regexp_replace(t, '[^A-Z0-9]', '', 'g') AS key FROM (SELECT line_id, unnest({TOKENS}) AS t FROM bank_lines) x),
+    h AS (SELECT l.line_id, abs(l.amount) AS size, d.doc_id, d.seq, d.amount FROM q JOIN bank_lines l ON q.line_id = l.line_id JOIN docs d ON regexp_replace(upper(d.number), '[^A-Z0-9]', '', 'g') = q.key
+      WHERE {SIDE} AND (l.txn_date - d.due_date) BETWEEN -45 AND 150 AND (l.txn_date - d.doc_date) >= -2),
+    m AS (SELECT line_id, list_sort((list(doc_id ORDER BY seq))[1:8]) AS claimed, abs(size - sum(amount)) <= 100 AS auto_post FROM h GROUP BY line_id, size),
+    j AS (SELECT t.line_id, t.kind, t.amount, m.auto_post, CASE WHEN claimed IS NULL THEN 'missed' WHEN claimed = [t.doc_id] THEN 'correct' WHEN list_contains(claimed, t.doc_id) THEN 'partial' ELSE 'wrong' END AS outcome FROM truth t LEFT JOIN m ON m.line_id = t.line_id)"""
+
+
+def _card_sql(keys: str) -> str:
+    return f"""a AS (SELECT {keys}count(*) AS matchable, count(*) FILTER (outcome <> 'missed') AS matched, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'partial') AS partial, count(*) FILTER (outcome = 'missed') AS missed,
+      CAST(0 AS BIGINT) AS to_quarantine, CAST(0 AS BIGINT) AS quarantined, count(*) FILTER (auto_post) AS auto_posted, count(*) FILTER (auto_post AND outcome = 'correct') AS auto_correct, CAST(sum(abs(amount)) AS BIGINT) AS value, CAST(coalesce(sum(abs(amount)) FILTER (outcome = 'correct'), 0) AS BIGINT) AS value_correct FROM j {"GROUP BY 1" if keys else ""}),
+    z AS (SELECT *, CASE WHEN matched > 0 THEN round(correct / CAST(matched AS DOUBLE), 4) ELSE 0.0 END AS "precision", CASE WHEN matchable > 0 THEN round(correct / CAST(matchable AS DOUBLE), 4) ELSE 0.0 END AS recall, CASE WHEN auto_posted > 0 THEN round(auto_correct / CAST(auto_posted AS DOUBLE), 4) ELSE 1.0 END AS auto_post_precision, CASE WHEN value > 0 THEN round(value_correct / CAST(value AS DOUBLE), 4) ELSE 0.0 END AS rupee_accuracy, 0.0::DOUBLE AS quarantine_accuracy FROM a)
+    SELECT *, CASE WHEN "precision" + recall > 0 THEN round(2 * "precision" * recall / ("precision" + recall), 4) ELSE 0.0 END AS f1 FROM z"""
+
+
+@query("WITH " + JUDGED + ", " + _card_sql(""), "bank_lines", "docs", "truth")
+def scorecard(v):
+    return E.scorecard(*_claims(v))
+
+
+@query("WITH " + JUDGED + ", " + _card_sql("kind, "), "bank_lines", "docs", "truth")
+def scorecard_by_kind(v):
+    return E.scorecard_by(*_claims(v), "kind")
+
+
+@query(f"SELECT doc_id, party_code, amount - paid AS outstanding, CAST({SQL_DAY} - due_date AS INTEGER) AS days_overdue, CASE WHEN {SQL_DAY} - due_date <= 30 THEN '1-30' WHEN {SQL_DAY} - due_date <= 60 THEN '31-60' WHEN {SQL_DAY} - due_date <= 90 THEN '61-90' WHEN {SQL_DAY} - due_date <= 180 THEN '91-180' ELSE '180+' END AS bucket FROM docs WHERE kind = 'AR' AND {SQL_DAY} >= due_date AND amount - paid > 0", "docs")
+def aged_receivables(v):
+    return E.aged_receivables(v("docs"), day())
+
+
+@query(f"SELECT code, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT amount, {CODE} AS code FROM (SELECT *, {TAGS} AS g, {KIND} AS k FROM bank_lines) a) b GROUP BY 1", "bank_lines")
+def exception_mix(v):
+    return E.exception_mix(R.classify_unresolved(v("bank_lines")))
+
+
+@query(
+    f"SELECT line_id, code, CASE code " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (c, _) in E.TRIAGE.items()) + " ELSE 'unknown' END AS category, CASE code " + " ".join(f"WHEN '{k}' THEN '{a}'" for k, (_, a) in E.TRIAGE.items()) + f" ELSE 'investigate_manually' END AS action, 'Banking-ops' AS owner FROM (SELECT line_id, {CODE} AS code FROM (SELECT *, {TAGS} AS g, {KIND} AS k FROM bank_lines) a) b",
+    "bank_lines",
+)
+def triage_table(v):
+    return E.triage(R.classify_unresolved(v("bank_lines")).withColumn("ref_type", F.lit("bank_line"))).select("line_id", "code", "category", "action", "owner")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, amount * 2 // 100 AS deduction, amount - amount * 2 // 100 AS expected FROM ar_docs WHERE k % 17 = 0), fd AS (SELECT doc_id, amount * 2 // 100 AS gap FROM ar_docs WHERE k % 34 = 0),
+    t AS (SELECT p.*, {TOL.format("expected")} AS tol, fd.gap FROM p LEFT JOIN fd ON fd.doc_id = p.doc_id), g AS (SELECT *, CASE WHEN gap > tol THEN least(gap, deduction) END AS got FROM t),
+    u AS (SELECT *, got IS NULL AND EXISTS (SELECT 1 FROM bank_lines b WHERE abs(abs(b.amount) - expected) <= tol) AS q FROM g)
+    SELECT count(*) AS planted, CAST(sum(deduction) AS BIGINT) AS planted_amount, count(got) AS surfaced, CAST(coalesce(sum(got), 0) AS BIGINT) AS surfaced_amount, count(*) FILTER (q) AS queued, count(*) FILTER (got IS NULL AND NOT q) AS missed FROM u""",
+    "ar_docs", "bank_lines",
+)
+def receivables_recovery(v):
+    cut = F.expr("amount * 2 div 100")
+    p = v("ar_docs").where("k % 17 = 0").select("doc_id", "k", cut.alias("deduction"), (F.col("amount") - cut).alias("expected"))
+    return E.receivables_recovery(p.drop("k"), p.where("k % 34 = 0").select("doc_id", F.col("deduction").alias("gap")), v("bank_lines"))
+
+
+@query(
+    "WITH " + CLAIMED + """, pl AS (SELECT settlement_id AS id, CASE WHEN day(settled_on) = 13 THEN gross // 400 ELSE gross // 500 END AS planted FROM settlements WHERE day(settled_on) IN (13, 17)), x AS (SELECT len(flags) AS n, recoverable, planted FROM i LEFT JOIN pl ON pl.id = settlement_id)
+    SELECT count(planted) AS defects, count(*) FILTER (planted IS NOT NULL AND n > 0) AS flagged, CAST(coalesce(sum(planted), 0) AS BIGINT) AS planted_amount, CAST(coalesce(sum(least(planted, recoverable)) FILTER (planted IS NOT NULL), 0) AS BIGINT) AS identified, count(*) FILTER (planted IS NULL AND n > 0) AS false_flags FROM x""",
+    *BOOKS,
+)
+def batch_defect_recovery(v):
+    d = F.dayofmonth("settled_on")
+    planted = v("settlements").where(d.isin(13, 17)).select("settlement_id", F.when(d == 13, F.expr("gross div 400")).otherwise(F.expr("gross div 500")).alias("amount"))
+    return E.batch_defect_recovery(planted, V.batch_claims(_flagged(v)))
+
+
+@query(
+    f"""WITH x AS (SELECT d.doc_id, d.amount AS outstanding, d.amount * (1.0::DOUBLE - (d.seq % 10) / 10.0::DOUBLE) AS expected, coalesce(c.cleared_on <= {SQL_DAY}, false) AS paid FROM ar_docs d LEFT JOIN cleared c ON c.doc_id = d.doc_id)
+    SELECT (SELECT round(avg(CAST(paid AS INTEGER)), 4) FROM (SELECT paid FROM x ORDER BY expected DESC, doc_id LIMIT 25) a) AS by_expected, (SELECT round(avg(CAST(paid AS INTEGER)), 4) FROM (SELECT paid FROM x ORDER BY outstanding DESC, doc_id LIMIT 25) b) AS by_outstanding""",
+    "ar_docs", "cleared",
+)
+def top25_hit_rate(v):
+    x = v("ar_docs").join(v("cleared"), "doc_id", "left").select("doc_id", F.col("amount").alias("outstanding"), (F.col("amount") * (1.0 - (F.col("seq") % 10) / 10.0)).alias("expected"), F.coalesce(F.col("cleared_on") <= day(), F.lit(False)).alias("paid_in_window"))
+    return E.top_hit_rate(x)
