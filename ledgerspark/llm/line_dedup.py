@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import read_table, small_side, written
 
 THRESHOLD = 0.8
-CLASSES = 1 << 16
+CLASSES = 1 << 20
 ENDS = 24
 #: Lines of more words have a second word of parities.
 LONG = 72
@@ -69,7 +69,8 @@ def _jaccard(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     texts = docs.select(F.col("_lm_id").alias("td"), F.xxhash64("_lm_text").alias("th"), F.split("_lm_text", "\n").alias("ls"))
     for d, h, i, name in (("d", "h", "i", "a"), ("xd", "xh", "xi", "b")):
         hit = F.col("td").eqNullSafe(F.col(d)) & (F.col("th") == F.col(h))
-        pairs = pairs.join(texts, hit).withColumn(name, words(F.element_at("ls", F.col(i) + 1))).drop("td", "th", "ls")
+        pairs = pairs.join(texts, hit).withColumn(name, F.element_at("ls", F.col(i) + 1)).drop("td", "th", "ls")
+    pairs = pairs.select("d", "h", "i", words(F.col("a")).alias("a"), words(F.col("b")).alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.where(both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9).select("d", "h", "i").distinct()
 
@@ -89,20 +90,28 @@ def _leaders(lines: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return equal.unionByName(_jaccard(rest, docs, threshold)).distinct()
 
 
-def rarity_classes(lines: DataFrame) -> list[int]:
+def rarity_classes(lines: DataFrame) -> bytes:
     """The class of each bucket of hashed words: its count over all lines, on a log scale.
 
     The table has ``CLASSES`` entries whatever the data.
     """
     w = lines.select(F.explode_outer(F.split("line", GAP)).alias("w")).select(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("b"))
-    table = [0] * CLASSES
-    for r in w.groupBy("b").count().collect():
-        table[r["b"]] = min(120, 1 + int(3 * math.log2(r["count"])))
-    return table
+    c = w.groupBy("b").count().select("b", F.least(F.lit(120), 1 + F.floor(3 * F.log2("count"))).cast("int").alias("c"))
+    # a row for each 1024 buckets, as hexadecimal text: the table goes to the driver as CLASSES / 1024 strings
+    rows = c.groupBy(F.shiftright("b", 10).alias("hi")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b").bitwiseAND(1023).cast("int"), "c"))).alias("m"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i), F.lit(0))), 2, "0")), "")
+    table = bytearray(CLASSES)
+    for r in rows.select("hi", text.alias("text")).collect():
+        table[r["hi"] * 1024 : (r["hi"] + 1) * 1024] = bytes.fromhex(r["text"])
+    return bytes(table)
 
 
-def _postings(lines: DataFrame, classes: list, threshold: float) -> DataFrame:
-    """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a, b (parities)."""
+def _postings(lines: DataFrame, classes: bytes, threshold: float) -> DataFrame:
+    """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a, b (parities).
+
+    w is cut to 31 bits to spare shuffle; words that then fall together give
+    candidates which the filters and the verification refuse.
+    """
     scale = F.lit(bytearray(classes))
     low = lambda x, n: x.bitwiseAND(n).cast("int")
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", GAP), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
@@ -111,7 +120,7 @@ def _postings(lines: DataFrame, classes: list, threshold: float) -> DataFrame:
     flip = lambda s: F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), low(F.shiftright(x, s) if s else x, 63))))
     rows = rows.withColumn("a", flip(0)).withColumn("b", F.when(F.col("n") > LONG, flip(6)).otherwise(F.lit(0).cast("long")))
     size = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    return rows.select("d", "h", "i", *(["open"] if "open" in rows.columns else []), "n", "a", "b", F.posexplode_outer(F.slice("k", F.lit(1), size)).alias("p", "w"))
+    return rows.select("d", "h", "i", *(["open"] if "open" in rows.columns else []), "n", "a", "b", F.posexplode_outer(F.slice("k", F.lit(1), size)).alias("p", "w")).withColumn("w", F.col("w").bitwiseAND((1 << 31) - 1).cast("int"))
 
 
 def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
@@ -119,13 +128,14 @@ def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
     y, x = posts.alias("y"), posts.alias("x")
     total = F.col("y.n") + F.col("x.n")
     need = F.ceil(threshold / (1 + threshold) * total - 1e-9)
-    ahead = F.least(F.col("y.n") - F.col("y.p"), F.col("x.n") - F.col("x.p")) + F.least("y.p", "x.p")
+    # at the first word that two lines share, all words before it differ, and the rests differ by their lengths at least
+    apart = F.col("y.p") + F.col("x.p") + F.abs((F.col("y.n") - F.col("y.p")) - (F.col("x.n") - F.col("x.p")))
     differ = lambda c: F.bit_count(F.col(f"y.{c}").bitwiseXOR(F.col(f"x.{c}")))
     most = total - 2 * need
     both_b = (F.col("y.n") <= LONG) | (F.col("x.n") <= LONG) | (differ("b") <= most)
     # "open" is asked together with both sides' columns: as a filter of one side it would part the two
     # sides' plans, and the words would be sorted and shuffled twice
-    cond = (F.col("y.w") == F.col("x.w")) & (F.when(F.col("y.open") & (F.col("x.open") | (F.col("y.n") > 0)), F.least("y.n", "x.n")) >= threshold * F.greatest("y.n", "x.n") - 1e-9) & (ahead >= need) & (differ("a") <= most) & both_b & _before("x", "y")
+    cond = (F.col("y.w") == F.col("x.w")) & (F.when(F.col("y.open") & (F.col("x.open") | (F.col("y.n") > 0)), F.least("y.n", "x.n")) >= threshold * F.greatest("y.n", "x.n") - 1e-9) & (apart <= most) & (differ("a") <= most) & both_b & _before("x", "y")
     return y.join(x, cond).select("y.d", "y.h", "y.i", F.col("x.d").alias("xd"), F.col("x.h").alias("xh"), F.col("x.i").alias("xi")).distinct()
 
 
