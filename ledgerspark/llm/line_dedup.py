@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import read_table, small_side, written
 
 THRESHOLD = 0.8
-CLASSES = 1 << 20
+CLASSES = 1 << 18
 ENDS = 24
 #: Lines of more words have a second word of parities.
 LONG = 72
@@ -96,10 +96,12 @@ def rarity_classes(lines: DataFrame) -> bytes:
     The table has ``CLASSES`` entries whatever the data.
     """
     w = lines.select(F.explode_outer(F.split("line", GAP)).alias("w")).select(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("b"))
-    c = w.groupBy("b").count().select("b", F.least(F.lit(120), 1 + F.floor(3 * F.log2("count"))).cast("int").alias("c"))
+    every = lines.sparkSession.range(CLASSES).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+    c = w.groupBy("b").agg(F.count("*").alias("n")).unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
+    c = c.select(F.shiftright("b", 10).alias("hi"), "b", F.when(F.col("n") > 0, F.least(F.lit(120), 1 + F.floor(3 * F.log2("n")))).otherwise(0).cast("int").alias("c"))
     # a row for each 1024 buckets, as hexadecimal text: the table goes to the driver as CLASSES / 1024 strings
-    rows = c.groupBy(F.shiftright("b", 10).alias("hi")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b").bitwiseAND(1023).cast("int"), "c"))).alias("m"))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i), F.lit(0))), 2, "0")), "")
+    rows = c.groupBy("hi").agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("m"))
+    text = F.array_join(F.transform("m", lambda x: F.lpad(F.hex(x["c"]), 2, "0")), "")
     table = bytearray(CLASSES)
     for r in rows.select("hi", text.alias("text")).collect():
         table[r["hi"] * 1024 : (r["hi"] + 1) * 1024] = bytes.fromhex(r["text"])

@@ -272,7 +272,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 #: Near-dedup of whole documents: words of a shingle, least Jaccard similarity, widest fingerprint distance looked at.
-SHINGLE, SIMILARITY, WIDE = 5, 0.8, 18
+SHINGLE, SIMILARITY, WIDE = 5, 0.8, 14
 
 
 def _shingles(text: str, k: int) -> set:
