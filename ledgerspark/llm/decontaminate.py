@@ -68,10 +68,15 @@ def windows(df: DataFrame, length: int) -> DataFrame:
 KINDS = ("num", "unit", "name")
 
 
+def _count(tokens: Column, kind: str) -> Column:
+    """How many placeholders of a kind an array of tokens has."""
+    return F.size(F.filter(tokens, lambda x: x == f"<{kind}>"))
+
+
 def _region(toks: str, start: Column, n: Column, side: str) -> dict[str, Column]:
     """n tokens from start, and how many placeholders of each kind stand before them."""
     head = F.slice(toks, F.lit(1), start)
-    return {f"{side}_part": F.slice(toks, start + 1, n)} | {f"{side}_{k}_at": F.size(F.filter(head, lambda x, k=k: x == f"<{k}>")) for k in KINDS}
+    return {f"{side}_part": F.slice(toks, start + 1, n)} | {f"{side}_{k}_at": _count(head, k) for k in KINDS}
 
 
 def _slots(side: str) -> Column:
@@ -82,7 +87,7 @@ def _slots(side: str) -> Column:
         upto = F.slice(part, F.lit(1), i + 1)
         out = F.lit(None).cast("string")
         for k in KINDS:
-            out = F.when(x == f"<{k}>", F.get(F.col(f"{side}_{k}s"), F.col(f"{side}_{k}_at") + F.size(F.filter(upto, lambda y, k=k: y == f"<{k}>")) - 1)).otherwise(out)
+            out = F.when(x == f"<{k}>", F.get(F.col(f"{side}_{k}s"), F.col(f"{side}_{k}_at") + _count(upto, k) - 1)).otherwise(out)
         return out
 
     return F.transform(part, value)
