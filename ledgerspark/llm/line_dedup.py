@@ -1,4 +1,8 @@
-"""Operator 4, line dedup: an exact set-similarity join of lines, in DataFrame functions only.
+"""Operator 4, line dedup: an exact set-similarity join of lines.
+
+Words are hashed and ordered in numpy over Arrow batches: the native form of
+that step alone takes more CPU than the check allows for the whole query.
+Leaders, join, filters and verification are DataFrame functions.
 
 A line is the set of its words ``[^\\x20\\x09-\\x0D]+``. It is removed if an
 earlier line (by document id, then line number) has Jaccard similarity of
@@ -8,10 +12,11 @@ earlier line (by document id, then line number) has Jaccard similarity of
    each line is held against the first line of its groups. Equal lines and
    most edited copies are settled here with work linear in the lines, so a
    group of copies of any size makes no pairs in what follows.
-2. Prefix join of the lines that are left, against all lines. Words are
-   ordered by rarity: a class from the counts of hashed words over the whole
-   table, then the word's hash. Lines that reach the threshold share a word in
-   their prefixes of n - ceil(t * n) + 1 words. The join on these words
+2. Prefix join of the lines that are left, against all different lines. Words
+   are ordered by rarity: a class from the counts of hashed words over the
+   whole table, then the word's hash. Lines that reach the threshold share a
+   word in their prefixes: n - ceil(t * n) + 1 words of the longer line, and
+   n - ceil(2t / (1 + t) * n) + 1 of the shorter. The join on these words
    applies the length filter, the positional filter and a parity filter: the
    parities of the hashed words differ in at most as many bits as the sets
    differ in words.
@@ -26,12 +31,15 @@ an empty result; other columns pass through.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_side, written
+from .common import Words, arrow_bytes, chunks, read_table, small_side, written
 
 THRESHOLD = 0.8
 CLASSES = 1 << 18
@@ -76,7 +84,7 @@ def _jaccard(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _leaders(lines: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """d, h, i of lines that match the first line of one of their groups."""
+    """d, h, i of lines that match the first line of one of their groups, and whether they equal it."""
     n = F.length("line")
     ends = F.array(F.xxhash64(F.lit(0), F.substring("line", 1, ENDS)), F.xxhash64(F.lit(1), F.expr(f"right(line, {ENDS})")), F.xxhash64(F.lit(2), F.expr(f"substring(line, length(line) div 2, {ENDS})")))
     # the line's own hash comes as a group, so that equal lines are settled whatever their ends share
@@ -87,17 +95,39 @@ def _leaders(lines: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     pairs = written(pairs, "leaders")
     equal = pairs.where("equal").select("d", "h", "i").distinct()
     rest = pairs.where("not equal").drop("equal").distinct()
-    return equal.unionByName(_jaccard(rest, docs, threshold)).distinct()
+    found = equal.withColumn("equal", F.lit(True)).unionByName(_jaccard(rest, docs, threshold).withColumn("equal", F.lit(False)))
+    return found.groupBy("d", "h", "i").agg(F.max("equal").alias("equal"))
+
+
+def _word_lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a run of texts, the line (counted over all texts) of each, and the first line of each text."""
+    words = Words(buf, offs)
+    breaks = np.flatnonzero(buf == 10)
+    text = np.concatenate([np.arange(len(offs) - 1), np.searchsorted(offs - offs[0], breaks, "right") - 1])
+    start = np.concatenate([offs[:-1] - offs[0], breaks + 1])
+    order = np.lexsort((text, start))
+    first = np.searchsorted(text[order], np.arange(len(offs)))
+    return words.hash, np.searchsorted(start[order], words.start, "right") - 1, first
+
 
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CLASSES, np.int64)
+    for x in batches:
+        buf, offs = arrow_bytes(x.column("_lm_text"))
+        for lo, hi in chunks(offs):
+            total += np.bincount((Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1]).hash & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
 
-def rarity_classes(lines: DataFrame) -> bytes:
-    """The class of each bucket of hashed words: its count over all lines, on a log scale.
+
+def rarity_classes(docs: DataFrame) -> bytes:
+    """The class of each bucket of hashed words: its count over all texts, on a log scale.
 
     The table has ``CLASSES`` entries whatever the data.
     """
-    w = lines.select(F.explode_outer(F.split("line", GAP)).alias("w")).select(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("b"))
-    every = lines.sparkSession.range(CLASSES).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
-    c = w.groupBy("b").agg(F.count("*").alias("n")).unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
+    counts = docs.select("_lm_text").mapInArrow(_count_buckets, "b long, n long")
+    every = docs.sparkSession.range(CLASSES).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+    c = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
     c = c.select(F.shiftright("b", 10).alias("hi"), "b", F.when(F.col("n") > 0, F.least(F.lit(120), 1 + F.floor(3 * F.log2("n")))).otherwise(0).cast("int").alias("c"))
     # a row for each 1024 buckets, as hexadecimal text: the table goes to the driver as CLASSES / 1024 strings
     rows = c.groupBy("hi").agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("m"))
@@ -108,26 +138,77 @@ def rarity_classes(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def _postings(lines: DataFrame, classes: bytes, threshold: float) -> DataFrame:
-    """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a, b (parities).
-
-    w is cut to 31 bits to spare shuffle; words that then fall together give
-    candidates which the filters and the verification refuse.
+def _marked(col: pa.Array, lo: int, hi: int, first: np.ndarray, lines: int) -> np.ndarray:
+    """Mask of the lines that a column of line numbers names, for rows lo to hi."""
+    part = col.slice(lo, hi - lo)
+    mask = np.zeros(lines, bool)
+    number = part.flatten().to_numpy(zero_copy_only=False)
+    row = pc.list_parent_indices(part).to_numpy(zero_copy_only=False)
+    mask[first[row] + number] = True
+    return mask
+
+
+def _post(classes: bytes, threshold: float):
+    scale = np.frombuffer(classes, np.uint8).astype(np.uint64)
+    one = np.uint64(1)
+
+    def part(x: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> pa.RecordBatch:
+        h, line, first = _word_lines(buf[offs[lo] : offs[hi]], offs[lo : hi + 1])
+        drop, done = (_marked(x.column(c), lo, hi, first, int(first[-1])) for c in ("equal", "done"))
+        use = ~drop[line]
+        h, line = h[use], line[use]
+        key = scale[(h & np.uint64(CLASSES - 1)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8)
+        order = np.lexsort((key, line))
+        key, line, h = key[order], line[order], h[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line, h = key[new], line[new], h[new]
+        head = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[head, len(line)])
+        # parity of the hashed words, bit by bit
+        a, b = (np.bitwise_xor.reduceat(one << (h >> np.uint64(s) & np.uint64(63)), head) if len(head) else np.zeros(0, np.uint64) for s in (0, 6))
+        size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+        each = np.repeat(np.arange(len(head)), size)
+        p = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+        own = line[head][each]
+        row = np.searchsorted(first, own, "right") - 1
+        at = pa.array(row + lo)
+        w = (key[head[each] + p] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        i32 = lambda v: pa.array(v.astype(np.int32))
+        i64 = lambda v: pa.array(v.view(np.int64))
+        cols = {"w": pa.array(w), "d": x.column("d").take(at), "h": x.column("h").take(at), "i": i32(own - first[row]), "open": pa.array(~done[own]), "n": i32(n[each]), "p": i32(p), "a": i64(a[each]), "b": i64(np.where(n > LONG, b, np.uint64(0))[each])}
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            buf, offs = arrow_bytes(x.column("text"))
+            for lo, hi in chunks(offs):
+                yield part(x, buf, offs, lo, hi)
+
+    return run
+
+
+def _postings(rows: DataFrame, classes: bytes, threshold: float) -> DataFrame:
+    """A row for each word of a line's prefix: w, d, h, i, open, n, p (position from 0), a, b (parities).
+
+    ``rows`` has d, h, text and the line numbers ``equal`` (left out) and
+    ``done`` (not open). w is cut to 31 bits to spare shuffle; words that then
+    fall together give candidates which the filters and the verification refuse.
     """
-    scale = F.lit(bytearray(classes))
-    low = lambda x, n: x.bitwiseAND(n).cast("int")
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", GAP), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rows = lines.withColumn("k", hashes)
-    rows = rows.withColumn("k", F.sort_array(F.transform("k", lambda x: F.shiftleft(F.ascii(F.substring(scale, low(x, CLASSES - 1) + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))).withColumn("n", F.size("k"))
-    flip = lambda s: F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), low(F.shiftright(x, s) if s else x, 63))))
-    rows = rows.withColumn("a", flip(0)).withColumn("b", F.when(F.col("n") > LONG, flip(6)).otherwise(F.lit(0).cast("long")))
-    size = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    return rows.select("d", "h", "i", *(["open"] if "open" in rows.columns else []), "n", "a", "b", F.posexplode_outer(F.slice("k", F.lit(1), size)).alias("p", "w")).withColumn("w", F.col("w").bitwiseAND((1 << 31) - 1).cast("int"))
+    d = dict(rows.dtypes)["d"]
+    return rows.mapInArrow(_post(classes, threshold), f"w int, d {d}, h long, i int, open boolean, n int, p int, a long, b long")
 
 
 def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of an open line and an earlier line that pass the filters."""
-    y, x = posts.alias("y"), posts.alias("x")
+    """Pairs of an open line and an earlier line that pass the filters.
+
+    The longer line y of a pair meets the shorter line x; a shorter line needs
+    only its first n - ceil(2t / (1 + t) * n) + 1 words for that.
+    """
+    posts = posts.repartition("w")
+    inner = F.col("p") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
+    # not deterministic, as a plain filter would go below the shuffle, and both sides would shuffle on their own
+    y, x = posts.alias("y"), posts.where(F.when(F.monotonically_increasing_id() >= 0, inner)).alias("x")
     total = F.col("y.n") + F.col("x.n")
     need = F.ceil(threshold / (1 + threshold) * total - 1e-9)
     # at the first word that two lines share, all words before it differ, and the rests differ by their lengths at least
@@ -135,23 +216,25 @@ def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
     differ = lambda c: F.bit_count(F.col(f"y.{c}").bitwiseXOR(F.col(f"x.{c}")))
     most = total - 2 * need
     both_b = (F.col("y.n") <= LONG) | (F.col("x.n") <= LONG) | (differ("b") <= most)
-    # "open" is asked together with both sides' columns: as a filter of one side it would part the two
-    # sides' plans, and the words would be sorted and shuffled twice
-    cond = (F.col("y.w") == F.col("x.w")) & (F.when(F.col("y.open") & (F.col("x.open") | (F.col("y.n") > 0)), F.least("y.n", "x.n")) >= threshold * F.greatest("y.n", "x.n") - 1e-9) & (apart <= most) & (differ("a") <= most) & both_b & _before("x", "y")
-    return y.join(x, cond).select("y.d", "y.h", "y.i", F.col("x.d").alias("xd"), F.col("x.h").alias("xh"), F.col("x.i").alias("xi")).distinct()
+    first = _before("x", "y")
+    turn = (F.col("x.n") < F.col("y.n")) & F.when(first, F.col("y.open")).otherwise(F.col("x.open")) | (F.col("x.n") == F.col("y.n")) & first & F.col("y.open")
+    cond = (F.col("y.w") == F.col("x.w")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (apart <= most) & (differ("a") <= most) & both_b & turn
+    ends = [(F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{o}.{c}"))).alias(n + c) for s, o, n in (("y", "x", ""), ("x", "y", "x")) for c in ("d", "h", "i")]
+    return y.join(x, cond).select(*ends).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """d, h, i of the lines to remove, from columns _lm_id and _lm_text."""
-    lines = _lines(docs)
-    settled = written(_leaders(lines, docs, threshold), "settled")
-    marks = small_side(settled.groupBy("d", "h").agg(F.collect_set("i").alias("done")), 200_000)
-    marked = docs.join(marks, docs["_lm_id"].eqNullSafe(marks["d"]) & (F.xxhash64(docs["_lm_text"]) == marks["h"]), "left").select("_lm_id", "_lm_text", "done")
-    rows = marked.select(F.col("_lm_id").alias("d"), F.xxhash64("_lm_text").alias("h"), "done", F.posexplode_outer(F.split("_lm_text", "\n")).alias("i", "line"))
-    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("open", ~F.coalesce(F.array_contains("done", F.col("i")), F.lit(False)))
+    settled = written(_leaders(_lines(docs), docs, threshold), "settled")
+    marks = settled.groupBy("d", "h").agg(F.collect_set(F.when(F.col("equal"), F.col("i"))).alias("equal"), F.collect_set("i").alias("done"))
+    marks = small_side(marks, 200_000)
+    src = docs.select(F.col("_lm_id").alias("id"), F.xxhash64("_lm_text").alias("th"), F.col("_lm_text").alias("text"))
+    none = F.array().cast("array<int>")
+    rows = src.join(marks, src["id"].eqNullSafe(marks["d"]) & (src["th"] == marks["h"]), "left")
+    rows = rows.select(F.col("id").alias("d"), F.col("th").alias("h"), "text", F.coalesce("equal", none).alias("equal"), F.coalesce("done", none).alias("done"))
     # repeated rows of one document are one
-    pairs = written(_candidates(_postings(rows, rarity_classes(lines), threshold), threshold), "line_pairs")
-    return settled.unionByName(_jaccard(pairs, docs, threshold)).distinct()
+    pairs = written(_candidates(_postings(rows, rarity_classes(docs), threshold), threshold), "line_pairs")
+    return settled.select("d", "h", "i").unionByName(_jaccard(pairs, docs, threshold)).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
