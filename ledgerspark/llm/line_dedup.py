@@ -31,12 +31,14 @@ an empty result; other columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_bytes, chunks, read_table, small_side, written
@@ -199,16 +201,32 @@ def _postings(rows: DataFrame, classes: bytes, threshold: float) -> DataFrame:
     return rows.mapInArrow(_post(classes, threshold), f"w int, d {d}, h long, i int, open boolean, n int, p int, a long, b long")
 
 
+@contextmanager
+def kept_partitioning(spark: SparkSession) -> Iterator[None]:
+    """Joins on a word and a level take rows that are partitioned by the word alone as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of an open line and an earlier line that pass the filters.
 
     The longer line y of a pair meets the shorter line x; a shorter line needs
     only its first n - ceil(2t / (1 + t) * n) + 1 words for that.
     """
-    posts = posts.repartition("w")
+    # lengths in levels: a line meets the shorter ones of its own level and of the level below
+    level = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9).cast("int")
+    posts = posts.repartition("w").withColumn("level", level)
     inner = F.col("p") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
-    # not deterministic, as a plain filter would go below the shuffle, and both sides would shuffle on their own
-    y, x = posts.alias("y"), posts.where(F.when(F.monotonically_increasing_id() >= 0, inner)).alias("x")
+    # not deterministic, as a plain filter of one side would go below the shuffle, and both sides would shuffle on their own
+    after = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    y = posts.where(after(F.col("p") >= 0)).alias("y")
+    x = posts.where(after(inner)).withColumn("level", F.explode_outer(F.array(F.col("level"), F.col("level") + 1))).alias("x")
     total = F.col("y.n") + F.col("x.n")
     need = F.ceil(threshold / (1 + threshold) * total - 1e-9)
     # at the first word that two lines share, all words before it differ, and the rests differ by their lengths at least
@@ -218,7 +236,7 @@ def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
     both_b = (F.col("y.n") <= LONG) | (F.col("x.n") <= LONG) | (differ("b") <= most)
     first = _before("x", "y")
     turn = (F.col("x.n") < F.col("y.n")) & F.when(first, F.col("y.open")).otherwise(F.col("x.open")) | (F.col("x.n") == F.col("y.n")) & first & F.col("y.open")
-    cond = (F.col("y.w") == F.col("x.w")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (apart <= most) & (differ("a") <= most) & both_b & turn
+    cond = (F.col("y.w") == F.col("x.w")) & (F.col("y.level") == F.col("x.level")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (apart <= most) & (differ("a") <= most) & both_b & turn
     ends = [(F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{o}.{c}"))).alias(n + c) for s, o, n in (("y", "x", ""), ("x", "y", "x")) for c in ("d", "h", "i")]
     return y.join(x, cond).select(*ends).distinct()
 
@@ -233,7 +251,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = src.join(marks, src["id"].eqNullSafe(marks["d"]) & (src["th"] == marks["h"]), "left")
     rows = rows.select(F.col("id").alias("d"), F.col("th").alias("h"), "text", F.coalesce("equal", none).alias("equal"), F.coalesce("done", none).alias("done"))
     # repeated rows of one document are one
-    pairs = written(_candidates(_postings(rows, rarity_classes(docs), threshold), threshold), "line_pairs")
+    posts = _postings(rows, rarity_classes(docs), threshold)
+    with kept_partitioning(docs.sparkSession):
+        pairs = written(_candidates(posts, threshold), "line_pairs")
     return settled.select("d", "h", "i").unionByName(_jaccard(pairs, docs, threshold)).distinct()
 
 
