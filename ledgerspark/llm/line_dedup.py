@@ -122,12 +122,12 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
 
 
-def rarity_classes(docs: DataFrame) -> bytes:
-    """The class of each bucket of hashed words: its count over all texts, on a log scale.
+def rarity_classes(docs: DataFrame, count=_count_buckets) -> bytes:
+    """The class of each bucket of hashed words (or of what ``count`` counts): its count over all texts, on a log scale.
 
     The table has ``CLASSES`` entries whatever the data.
     """
-    counts = docs.select("_lm_text").mapInArrow(_count_buckets, "b long, n long")
+    counts = docs.select("_lm_text").mapInArrow(count, "b long, n long")
     every = docs.sparkSession.range(CLASSES).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
     c = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
     c = c.select(F.shiftright("b", 10).alias("hi"), "b", F.when(F.col("n") > 0, F.least(F.lit(120), 1 + F.floor(3 * F.log2("n")))).otherwise(0).cast("int").alias("c"))

@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, read_table, small_side, written
+from .common import Words, arrow_bytes, chunks, read_table, run_hash, small_side, written
+from .line_dedup import CLASSES, rarity_classes
 
 SEED = 42
 TILE_ROWS = 8192
@@ -271,8 +272,59 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "_lm_fp").select("doc_id", "_lm_fp", "component_id")
 
 
-#: Near-dedup of whole documents: words of a shingle, least Jaccard similarity, widest fingerprint distance looked at.
-SHINGLE, SIMILARITY, WIDE = 5, 0.8, 14
+#: Near-dedup of whole documents: words of a shingle, least Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Pairs for each posting that are all looked at without another round of hubs.
+FEW = 4
+
+
+def _shingle_hashes(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of each shingle of a run of texts; a text of fewer than k words is one shingle."""
+    words = Words(buf, offs, lower=True)
+    held = np.diff(words.first)
+    many = np.where(held > 0, np.maximum(1, held - k + 1), 0)
+    row = np.repeat(np.arange(len(held)), many)
+    start = words.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    return row, run_hash(words.runs(), start, np.minimum(start + k, words.first[row + 1]))
+
+
+def _count_shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
+        for x in batches:
+            buf, offs = arrow_bytes(x.column("_lm_text"))
+            for lo, hi in chunks(offs):
+                _, h = _shingle_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1], k)
+                total += np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
+
+    return run
+
+
+def _prefixes(classes: bytes, k: int, threshold: float):
+    """The rarest n - ceil(threshold * n) + 1 shingles of each text; texts without words have posting 0."""
+    scale = np.frombuffer(classes, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            buf, offs = arrow_bytes(x.column("_lm_text"))
+            names = x.column("node").to_numpy()
+            for lo, hi in chunks(offs):
+                row, h = _shingle_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1], k)
+                rare = scale[(h & np.uint64(CLASSES - 1)).astype(np.int64)]
+                order = np.lexsort((h, rare, row))
+                row, h = row[order], h[order]
+                new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(row)]
+                row, h = row[new], h[new]
+                n = np.bincount(row, minlength=hi - lo)
+                i = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                keep = i < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[row]
+                bare = np.flatnonzero(n == 0)
+                row, h, i = np.r_[row[keep], bare], np.r_[h[keep].view(np.int64), np.zeros(len(bare), np.int64)], np.r_[i[keep], np.zeros(len(bare), np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(names[lo:hi][row]), pa.array(n[row].astype(np.int32)), pa.array(i.astype(np.int32))], names=["w", "node", "n", "i"])
+
+    return run
 
 
 def _shingles(text: str, k: int) -> set:
@@ -287,39 +339,77 @@ def _similar(k: int, threshold: float):
             for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
                 p, q = _shingles(x.as_py(), k), _shingles(y.as_py(), k)
                 n = len(p & q)
-                keep.append(n >= threshold * (len(p) + len(q) - n))
+                keep.append(n >= threshold * (len(p) + len(q) - n) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
+def near_links(docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """node, root: the groups of texts (columns node and _lm_text) under all pairs with a similarity of ``threshold``.
+
+    Two such texts share one of their rarest shingles (the prefixes). Rounds
+    of hubs come first: each text is verified against one text of each of its
+    postings, so that groups of copies are joined with linear work. Then all
+    pairs of a posting that verified links have not joined are verified.
+    """
+    classes = rarity_classes(docs, _count_shingles(k))
+    posts = docs.mapInArrow(_prefixes(classes, k, threshold), "w long, node long, n int, i int").dropDuplicates(["w", "node"])
+    posts = written(posts, "postings")
+    repeated = posts.groupBy("w").count().where("count > 1").select("w")
+    posts = written(posts.join(repeated, "w"), "postings")
+    # shingles that two sets must share, and those that they can share from a first common one on
+    least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
+    close = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= least
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.where(close).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
+        wanted = small_side(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        texts = written(docs.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("_lm_text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("_lm_text").alias("tb")), "b")
+        return written(pairs.select("a", "b", "ta", "tb").mapInArrow(_similar(k, threshold), "a long, b long"), "similar")
+
+    edges = roots = before = None
+    turn = 0
+    while True:
+        live = posts if roots is None else posts.join(roots, "node", "left")
+        live = live.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
+        if roots is not None:
+            apart = live.groupBy("w", "root").agg(F.count("*").cast("double").alias("c")).groupBy("w").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s")
+            live = written(live.join(apart.select("w", ((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs"), F.col("c").alias("held")), "w"), "live")
+            size = live.agg(F.sum(F.col("pairs") / F.col("held")).alias("pairs"), F.count("*").alias("rows")).first()
+            if not size["rows"]:
+                return roots
+            if size["pairs"] <= FEW * size["rows"] or (before is not None and size["pairs"] > before / 2):
+                break
+            before = size["pairs"]
+        turn += 1
+        hub = live.groupBy("w").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("at"))).alias("h"))
+        new = verified(live.join(hub.select("w", "h.*"), "w").where("root != at"))
+        edges = new if edges is None else edges.unionAll(new)
+        roots = components(edges)
+    other = live.select("w", F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("at"))
+    return components(edges.unionAll(verified(live.join(other, "w").where("node < other and root != at"))))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near duplicates the one with the smallest id.
 
-    Texts with the same words are one node. Fingerprints of k-word shingles
-    within ``radius`` bits are candidates, found tile by tile; a tile holds
-    texts of like size, as a similarity of ``threshold`` bounds the ratio of
-    sizes. Candidates are verified by the Jaccard similarity of the shingle
-    sets. Rows that repeat id and text count once; texts without words are one
-    group.
+    Equal texts are one node. Nodes are linked if the Jaccard similarity of
+    their sets of k-word shingles is ``threshold`` or more; no such pair is
+    left out, and groups are what the links join. Rows that repeat id and text
+    count once; texts without words are one group.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     node = F.xxhash64(text)
-    fps = written(fingerprints(docs, [F.col(id_col).alias("d"), node.alias("node")], text_col, k, True), "fingerprints")
-    nodes = written(fps.groupBy("node").agg(F.min("_lm_fp").alias("fp"), F.min("_lm_shingles").alias("n"), F.min("d").alias("d")), "nodes")
-    # sets with a similarity of t differ in size by a factor of 1 / t at most: by one level
-    level = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(threshold)).cast("int")
-    found = written(tile_links(nodes.select("node", "fp", level.alias("level")).withColumn("t", F.lit(0)), ["t"], 1, radius, 3, TILE_ROWS), "candidates")
-    wanted = small_side(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
-    texts = docs.select(node.alias("node"), text.alias("t")).join(wanted, "node").dropDuplicates(["node"])
-    texts = written(texts, "texts")
-    pairs = found.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    roots = components(pairs.select("a", "b", "ta", "tb").mapInArrow(_similar(k, threshold), "a long, b long"))
+    ids = docs.select(F.col(id_col).alias("d"), node.alias("node"))
+    nodes = written(ids.groupBy("node").agg(F.min("d").alias("d")), "nodes")
+    roots = near_links(docs.select(node.alias("node"), text.alias("_lm_text")), k, threshold)
     named = nodes.join(roots, "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
     stay = written(named.groupBy("root").agg(F.min(F.struct(F.col("d"), F.col("node"))).alias("x")).select("x.d", "x.node"), "stay")
     stay = stay.select(F.col("d").alias("_lm_d"), F.col("node").alias("_lm_node"))
     out = docs.join(small_side(stay), docs[id_col].eqNullSafe(stay["_lm_d"]) & (node == stay["_lm_node"]), "left_semi")
-    repeats = fps.groupBy("d", "node").count().where("count > 1").limit(1).count()
+    repeats = ids.groupBy("d", "node").count().where("count > 1").limit(1).count()
     return out.withColumn("_lm_node", node).dropDuplicates([id_col, "_lm_node"]).drop("_lm_node") if repeats else out
 
 

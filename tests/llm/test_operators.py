@@ -101,6 +101,47 @@ def test_near_dedup(docs, corpus):
     assert {43, 3, 0} <= set(kept) and not {44, 45, 46, 4, 1} & set(kept) and len(kept) == len(set(kept))
 
 
+def kept_by_all_pairs(rows):
+    """Smallest id of each group under all pairs of 5-word shingle sets with a Jaccard similarity of 0.8, counted shingle by shingle."""
+    sets, held, root = {}, collections.defaultdict(list), {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[x : x + 5]) for x in range(max(1, len(w) - 4))}
+        root[i] = i
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        common = collections.Counter(j for s in sets[i] for j in held[s])
+        for j, n in common.items():
+            if 10 * n >= 8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        for s in sets[i]:
+            held[s].append(i)
+    return [i for i in sorted(sets) if root[i] == i]
+
+
+def test_near_dedup_groups(spark):
+    """Copies of a group lie on both sides of the threshold: a pair that fails must not hide another one."""
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(300):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice((20, 40, 80)))]
+        for _ in range(12):
+            t = list(base)
+            # both ends change little, the places next to them change a pair from just above to just below the threshold
+            for at in rnd.sample((0, 1, 2, 3, -1, -2, -3, -4), 2 + len(base) // 40):
+                t[at] = f"x{rnd.randrange(3)}"
+            rows.append((len(rows), " ".join(t)))
+    rnd.shuffle(rows)
+    got = sorted(r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == kept_by_all_pairs(rows)
+
+
 def test_line_dedup(docs, corpus):
     lines = [(i, n, frozenset(WORD.findall(x))) for i, t in sorted({(i, t) for i, t in corpus if t is not None}) for n, x in enumerate(t.split("\n"))]
     gone = collections.defaultdict(set)
