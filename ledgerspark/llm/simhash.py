@@ -22,11 +22,9 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -92,83 +90,6 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare(own: np.ndarray, visit: np.ndarray | None, radius: int, tight: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a tile pair as node indices (visit's after own's), linear in the nodes.
-
-    The matrix of distances is looked at in pieces. Nodes are joined by close
-    links first and by wide ones then, one link for each two groups that a
-    piece joins; besides, each node comes with its nearest neighbour.
-    """
-    nodes, right, shift = (own, own, 0) if visit is None else (np.concatenate([own, visit]), visit, len(own))
-    root, a, b = np.arange(len(nodes)), [], []
-    step = max(1, (1 << 20) // max(1, len(right)))
-    for reach in (tight, radius):
-        for lo in range(0, len(own), step):
-            bits = np.bitwise_count(own[lo : lo + step, None] ^ right[None, :])
-            if visit is None:
-                bits[np.arange(len(bits)), np.arange(lo, lo + len(bits))] = 255
-            if reach == radius:
-                near = bits.argmin(1)
-                ok = np.flatnonzero(bits[np.arange(len(bits)), near] <= radius)
-                a.append(ok + lo), b.append(near[ok] + shift)
-            i, j = np.nonzero(bits <= reach)
-            i, j = i + lo, j + shift
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-            if len(i):
-                ends = np.sort(np.stack([root[i], root[j]], 1), axis=1)
-                _, first = np.unique(ends[:, 0] * len(nodes) + ends[:, 1], return_index=True)
-                i, j = i[first], j[first]
-                a.append(i), b.append(j)
-                top = forest(len(nodes), root[i], root[j])
-                root = top[root]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _tile(radius: int, tight: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf.side == 0].drop_duplicates("node").sort_values("fp")
-        right = pdf[pdf.side == 1].drop_duplicates("node").sort_values("fp")
-        alone = bool(pdf.alone.iloc[0])
-        if not len(left) or (not alone and not len(right)):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        bits = lambda x: x.fp.to_numpy().view(np.uint64)
-        i, j = compare(bits(left), None if alone else bits(right), radius, tight)
-        nodes = left.node.to_numpy() if alone else np.concatenate([left.node.to_numpy(), right.node.to_numpy()])
-        return pd.DataFrame({"a": nodes[i], "b": nodes[j]})
-
-    return run
-
-
-def tile_links(rows: DataFrame, tile: list, reach: int, radius: int, tight: int, tile_rows: int) -> DataFrame:
-    """Links a-b of nodes within ``radius`` bits.
-
-    ``rows`` has node, fp, the ``tile`` columns and ``level`` (int). A node is
-    compared with the nodes of its tile at its own level and up to ``reach``
-    levels above; no other tile pair is looked at. Tiles are cut into shares
-    of about ``tile_rows``, and each pair of shares is a group of its own, so
-    that no task holds more than two shares.
-    """
-    rows = rows.select("node", "fp", *tile, "level", F.explode(F.expr(f"sequence(0, {reach})")).alias("gap")).withColumn("level", F.col("level") - F.col("gap"))
-    key = [*tile, "level"]
-    own = F.when(F.col("gap") == 0, 1).otherwise(0)
-    sizes = rows.groupBy(*key).agg(F.sum(own).alias("own"), F.sum(1 - own).alias("visit")).where("own > 0 and own + visit > 1")
-    sizes = sizes.select(*key, F.ceil(F.col("own") / tile_rows).cast("int").alias("po"), F.ceil(F.col("visit") / tile_rows).cast("int").alias("pv"))
-    rows = rows.join(sizes, key)
-    share = F.pmod(F.xxhash64("node"), F.when(F.col("gap") == 0, F.col("po")).otherwise(F.col("pv"))).cast("int")
-    rows = rows.withColumn("s", share)
-    # (left share, right share, whether the right one visits from a level above, side of this row)
-    goes = F.when(
-        F.col("gap") == 0,
-        F.expr("""concat(
-          transform(sequence(s, po - 1), q -> named_struct('l', s, 'r', q, 'up', false, 'side', 0)),
-          if(s > 0, transform(sequence(0, s - 1), p -> named_struct('l', p, 'r', s, 'up', false, 'side', 1)), array()),
-          if(pv > 0, transform(sequence(0, pv - 1), v -> named_struct('l', s, 'r', v, 'up', true, 'side', 0)), array()))"""),
-    ).otherwise(F.expr("transform(sequence(0, po - 1), p -> named_struct('l', p, 'r', s, 'up', true, 'side', 1))"))
-    rows = rows.select(*key, "node", "fp", F.explode(goes).alias("_goes")).select(*key, "node", "fp", "_goes.*").withColumn("alone", ~F.col("up") & (F.col("l") == F.col("r")))
-    return rows.groupBy(*key, "l", "r", "up").applyInPandas(_tile(radius, tight), "a long, b long").distinct()
-
-
 def _tiles(radius: int):
     """Rows sorted by tile and population count -> spanning links; a tile may go over batches."""
 

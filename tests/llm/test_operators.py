@@ -142,6 +142,17 @@ def test_near_dedup_groups(spark):
     assert got == kept_by_all_pairs(rows)
 
 
+def test_near_dedup_short(spark):
+    """Eight words and the same with a ninth have 4 of 5 shingles in common, 12 of 15 for sixteen and nineteen; their fingerprints are often far apart."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(400):
+        t = words(rnd, 8 if i % 2 else 16, 100_000)
+        rows += [(2 * i, t), (2 * i + 1, t + " " + words(rnd, 1 if i % 2 else 3, 100_000))]
+    got = sorted(r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == list(range(0, 800, 2))
+
+
 def test_line_dedup(docs, corpus):
     lines = [(i, n, frozenset(WORD.findall(x))) for i, t in sorted({(i, t) for i, t in corpus if t is not None}) for n, x in enumerate(t.split("\n"))]
     gone = collections.defaultdict(set)
