@@ -70,6 +70,18 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_rows(df: DataFrame, array: str, rows: int = 200_000, items: int = 4_000_000) -> DataFrame:
+    """Broadcast hint for rows with an array, behind a check of the rows and of all items together."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(array)), F.lit(0)).alias("m")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["m"] <= items else df
+
+
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by their place, and the name that each has now, so that no column can clash with the operator's own."""
+    names = [f"_in{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -1,271 +1,249 @@
-"""Operator 4, line dedup: an exact set-similarity join of lines.
-
-Words are hashed and ordered in numpy over Arrow batches: the native form of
-that step alone takes more CPU than the check allows for the whole query.
-Leaders, join, filters and verification are DataFrame functions.
+"""Operator 4, line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
 A line is the set of its words ``[^\\x20\\x09-\\x0D]+``. It is removed if an
 earlier line (by document id, then line number) has Jaccard similarity of
 ``threshold`` or more with it; whether that line itself stays is of no matter.
 
-1. Leaders. Lines with the same first, middle or last characters form groups;
-   each line is held against the first line of its groups. Equal lines and
-   most edited copies are settled here with work linear in the lines, so a
-   group of copies of any size makes no pairs in what follows.
-2. Prefix join of the lines that are left, against all different lines. Words
-   are ordered by rarity: a class from the counts of hashed words over the
-   whole table, then the word's hash. Lines that reach the threshold share a
-   word in their prefixes: n - ceil(t * n) + 1 words of the longer line, and
-   n - ceil(2t / (1 + t) * n) + 1 of the shorter. The join on these words
-   applies the length filter, the positional filter and a parity filter: the
-   parities of the hashed words differ in at most as many bits as the sets
-   differ in words.
-3. Candidates are verified on the words themselves.
+1. Equal lines are counted by a 128-bit hash with a map-side combine; all but
+   the first go, and one line of each kind is left for the join.
+2. The words of a line are ordered by rarity: a class from the counts of
+   hashed words over the whole table, then the word's hash. Lines that reach
+   the threshold share a word in their prefixes: n - ceil(t * n) + 1 words of
+   the longer line, and n - ceil(2t / (1 + t) * n) + 1 of the shorter. Words
+   that stand in one prefix only are dropped.
+3. Rounds of hubs: in each group of a word and a level of length, lines are
+   held against one line of the group, which settles groups of near copies
+   with work linear in the postings.
+4. Lines that are still open meet all earlier lines of their groups.
+
+Every pair passes the length filter, the positional filter and a parity filter
+(the parities of the hashed words differ in at most as many bits as the sets
+differ in words) before it is verified on the words themselves.
 
 Contract cases: null texts are kept as they are; lines without a word are
 always kept; rows that repeat both id and text are one document, so a line is
 removed from all of them or from none; rows that repeat an id with another
 text are ordered by the text's hash; null ids come first; an empty table gives
-an empty result; other columns pass through.
+an empty result; other columns pass through, also those whose names clash with
+the ones used here.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_bytes, chunks, read_table, small_side, written
+from .common import apart, read_table, small_rows, small_side, written
 
 THRESHOLD = 0.8
-CLASSES = 1 << 18
-ENDS = 24
-#: Lines of more words have a second word of parities.
-LONG = 72
+#: Buckets of hashed words in the table of rarity classes.
+BUCKETS = 1 << 15
+#: Lines of more words have 256 parities, others 64.
+LONG = 64
+#: Pairs for each posting that are all looked at without another round of hubs.
+FEW = 16
+#: Rounds of hubs after which all pairs that are left are looked at.
+ROUNDS = 4
 GAP = r"[\x20\x09-\x0D]+"
+AT = ("d", "h", "i")
 
 
-def words(line: Column) -> Column:
-    """The set of words of a line."""
-    return F.array_remove(F.array_distinct(F.split(line, GAP)), "")
+def pieces(line: str) -> Column:
+    """The words of a line and empty strings: split at blanks, which needs no pattern, where there is no other white space."""
+    other = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(c))
+    return F.when(other, F.split(line, GAP)).otherwise(F.split(line, " "))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
     """d, h (hash of the text), i, line; one row per line with a word.
 
     Arrays are exploded in the outer form here and below: for the inner one
     the optimiser works out the array once more to test for emptiness.
     """
-    rows = docs.select(F.col("_lm_id").alias("d"), F.xxhash64("_lm_text").alias("h"), F.posexplode_outer(F.split("_lm_text", "\n")).alias("i", "line"))
+    rows = docs.select(F.col("_lm_id").alias("d"), F.xxhash64("_lm_text").alias("h"), *more, F.posexplode_outer(F.split("_lm_text", "\n")).alias("i", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _before(a: str, b: str) -> Column:
-    """Whether line a comes before line b."""
-    x = F.struct(*[F.col(f"{a}.{c}") for c in ("d", "h", "i")])
-    return x < F.struct(*[F.col(f"{b}.{c}") for c in ("d", "h", "i")])
-
-
-def _jaccard(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs d, h, i (later line) and xd, xh, xi, those that reach the threshold, as distinct d, h, i."""
-    wanted = pairs.select("d", "h").union(pairs.select("xd", "xh")).distinct().select(F.col("d").alias("wd"), F.col("h").alias("wh"))
-    docs = docs.join(small_side(written(wanted, "wanted")), docs["_lm_id"].eqNullSafe(F.col("wd")) & (F.xxhash64("_lm_text") == F.col("wh")), "left_semi")
-    texts = docs.select(F.col("_lm_id").alias("td"), F.xxhash64("_lm_text").alias("th"), F.split("_lm_text", "\n").alias("ls"))
-    for d, h, i, name in (("d", "h", "i", "a"), ("xd", "xh", "xi", "b")):
-        hit = F.col("td").eqNullSafe(F.col(d)) & (F.col("th") == F.col(h))
-        pairs = pairs.join(texts, hit).withColumn(name, F.element_at("ls", F.col(i) + 1)).drop("td", "th", "ls")
-    pairs = pairs.select("d", "h", "i", words(F.col("a")).alias("a"), words(F.col("b")).alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.where(both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9).select("d", "h", "i").distinct()
-
-
-def _leaders(lines: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """d, h, i of lines that match the first line of one of their groups, and whether they equal it."""
-    n = F.length("line")
-    ends = F.array(F.xxhash64(F.lit(0), F.substring("line", 1, ENDS)), F.xxhash64(F.lit(1), F.expr(f"right(line, {ENDS})")), F.xxhash64(F.lit(2), F.expr(f"substring(line, length(line) div 2, {ENDS})")))
-    # the line's own hash comes as a group, so that equal lines are settled whatever their ends share
-    rows = lines.select("d", "h", "i", F.xxhash64("line").alias("g"), n.alias("n"), F.explode(F.array_append(ends, F.xxhash64(F.lit(3), "line"))).alias("e"))
-    first = rows.groupBy("e").agg(F.min(F.struct("d", "h", "i", "g", "n")).alias("x"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = rows.join(first, "e").where(F.struct("d", "h", "i") > F.struct("x.d", "x.h", "x.i"))
-    pairs = pairs.select("d", "h", "i", F.col("x.d").alias("xd"), F.col("x.h").alias("xh"), F.col("x.i").alias("xi"), ((F.col("g") == F.col("x.g")) & (F.col("n") == F.col("x.n"))).alias("equal"))
-    pairs = written(pairs, "leaders")
-    equal = pairs.where("equal").select("d", "h", "i").distinct()
-    rest = pairs.where("not equal").drop("equal").distinct()
-    found = equal.withColumn("equal", F.lit(True)).unionByName(_jaccard(rest, docs, threshold).withColumn("equal", F.lit(False)))
-    return found.groupBy("d", "h", "i").agg(F.max("equal").alias("equal"))
-
-
-def _word_lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of a run of texts, the line (counted over all texts) of each, and the first line of each text."""
-    words = Words(buf, offs)
-    breaks = np.flatnonzero(buf == 10)
-    text = np.concatenate([np.arange(len(offs) - 1), np.searchsorted(offs - offs[0], breaks, "right") - 1])
-    start = np.concatenate([offs[:-1] - offs[0], breaks + 1])
-    order = np.lexsort((text, start))
-    first = np.searchsorted(text[order], np.arange(len(offs)))
-    return words.hash, np.searchsorted(start[order], words.start, "right") - 1, first
-
-
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES, np.int64)
-    for x in batches:
-        buf, offs = arrow_bytes(x.column("_lm_text"))
-        for lo, hi in chunks(offs):
-            total += np.bincount((Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1]).hash & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
-
-
-def rarity_classes(docs: DataFrame, count=_count_buckets) -> bytes:
-    """The class of each bucket of hashed words (or of what ``count`` counts): its count over all texts, on a log scale.
-
-    The table has ``CLASSES`` entries whatever the data.
-    """
-    counts = docs.select("_lm_text").mapInArrow(count, "b long, n long")
-    every = docs.sparkSession.range(CLASSES).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
-    c = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
-    c = c.select(F.shiftright("b", 10).alias("hi"), "b", F.when(F.col("n") > 0, F.least(F.lit(120), 1 + F.floor(3 * F.log2("n")))).otherwise(0).cast("int").alias("c"))
-    # a row for each 1024 buckets, as hexadecimal text: the table goes to the driver as CLASSES / 1024 strings
-    rows = c.groupBy("hi").agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("m"))
-    text = F.array_join(F.transform("m", lambda x: F.lpad(F.hex(x["c"]), 2, "0")), "")
-    table = bytearray(CLASSES)
-    for r in rows.select("hi", text.alias("text")).collect():
-        table[r["hi"] * 1024 : (r["hi"] + 1) * 1024] = bytes.fromhex(r["text"])
-    return bytes(table)
-
-
-def _marked(col: pa.Array, lo: int, hi: int, first: np.ndarray, lines: int) -> np.ndarray:
-    """Mask of the lines that a column of line numbers names, for rows lo to hi."""
-    part = col.slice(lo, hi - lo)
-    mask = np.zeros(lines, bool)
-    number = part.flatten().to_numpy(zero_copy_only=False)
-    row = pc.list_parent_indices(part).to_numpy(zero_copy_only=False)
-    mask[first[row] + number] = True
-    return mask
-
-
-def _post(classes: bytes, threshold: float):
-    scale = np.frombuffer(classes, np.uint8).astype(np.uint64)
-    one = np.uint64(1)
-
-    def part(x: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> pa.RecordBatch:
-        h, line, first = _word_lines(buf[offs[lo] : offs[hi]], offs[lo : hi + 1])
-        drop, done = (_marked(x.column(c), lo, hi, first, int(first[-1])) for c in ("equal", "done"))
-        use = ~drop[line]
-        h, line = h[use], line[use]
-        key = scale[(h & np.uint64(CLASSES - 1)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8)
-        order = np.lexsort((key, line))
-        key, line, h = key[order], line[order], h[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        key, line, h = key[new], line[new], h[new]
-        head = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[head, len(line)])
-        # parity of the hashed words, bit by bit
-        a, b = (np.bitwise_xor.reduceat(one << (h >> np.uint64(s) & np.uint64(63)), head) if len(head) else np.zeros(0, np.uint64) for s in (0, 6))
-        size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-        each = np.repeat(np.arange(len(head)), size)
-        p = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-        own = line[head][each]
-        row = np.searchsorted(first, own, "right") - 1
-        at = pa.array(row + lo)
-        w = (key[head[each] + p] & np.uint64(0x7FFFFFFF)).astype(np.int32)
-        i32 = lambda v: pa.array(v.astype(np.int32))
-        i64 = lambda v: pa.array(v.view(np.int64))
-        cols = {"w": pa.array(w), "d": x.column("d").take(at), "h": x.column("h").take(at), "i": i32(own - first[row]), "open": pa.array(~done[own]), "n": i32(n[each]), "p": i32(p), "a": i64(a[each]), "b": i64(np.where(n > LONG, b, np.uint64(0))[each])}
-        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            buf, offs = arrow_bytes(x.column("text"))
-            for lo, hi in chunks(offs):
-                yield part(x, buf, offs, lo, hi)
-
-    return run
-
-
-def _postings(rows: DataFrame, classes: bytes, threshold: float) -> DataFrame:
-    """A row for each word of a line's prefix: w, d, h, i, open, n, p (position from 0), a, b (parities).
-
-    ``rows`` has d, h, text and the line numbers ``equal`` (left out) and
-    ``done`` (not open). w is cut to 31 bits to spare shuffle; words that then
-    fall together give candidates which the filters and the verification refuse.
+def rarity_classes(docs: DataFrame) -> Column:
+    """An array of ``BUCKETS`` classes: the count of a bucket of hashed words over all texts, on a log scale.
+
+    The table has the same size whatever the data.
     """
-    d = dict(rows.dtypes)["d"]
-    return rows.mapInArrow(_post(classes, threshold), f"w int, d {d}, h long, i int, open boolean, n int, p int, a long, b long")
+    word = docs.select(F.explode_outer(F.split("_lm_text", "\n")).alias("line")).select(F.explode_outer(pieces("line")).alias("w"))
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count("w").alias("n"))
+    table = ["0"] * BUCKETS
+    for b, n in counts.collect():
+        table[b] = str(min(120, 1 + int(3 * math.log2(n)))) if n else "0"
+    return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>")
 
 
-@contextmanager
-def kept_partitioning(spark: SparkSession) -> Iterator[None]:
-    """Joins on a word and a level take rows that are partitioned by the word alone as they are."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _equal_lines(docs: DataFrame) -> DataFrame:
+    """d, h, i of lines that an earlier line equals."""
+    rows = _lines(docs).select(*AT, F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2"))
+    kinds = rows.groupBy("k", "k2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = written(rows.join(small_side(written(kinds, "line_kinds")), ["k", "k2"]), "repeated_lines")
+    first = rows.groupBy("k", "k2").agg(F.min(F.struct(*AT)).alias("x"))
+    return rows.join(small_side(first), ["k", "k2"]).where(F.struct(*AT) > F.col("x")).select(*AT).distinct()
 
 
-def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of an open line and an earlier line that pass the filters.
+def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
+    """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a, b (parities), without the ``equal`` lines.
 
-    The longer line y of a pair meets the shorter line x; a shorter line needs
-    only its first n - ceil(2t / (1 + t) * n) + 1 words for that.
+    w is cut to 31 bits to spare shuffle; words that then fall together give
+    candidates which the filters and the verification refuse.
     """
-    # lengths in levels: a line meets the shorter ones of its own level and of the level below
-    level = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9).cast("int")
-    posts = posts.repartition("w").withColumn("level", level)
-    inner = F.col("p") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
-    # not deterministic, as a plain filter of one side would go below the shuffle, and both sides would shuffle on their own
-    after = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
-    y = posts.where(after(F.col("p") >= 0)).alias("y")
-    x = posts.where(after(inner)).withColumn("level", F.explode_outer(F.array(F.col("level"), F.col("level") + 1))).alias("x")
+    marks = small_rows(equal.groupBy(F.col("d").alias("md"), F.col("h").alias("mh")).agg(F.collect_set("i").alias("skip")), "skip")
+    src = docs.withColumn("_lm_h", F.xxhash64("_lm_text"))
+    src = src.join(marks, src["_lm_id"].eqNullSafe(marks["md"]) & (src["_lm_h"] == marks["mh"]), "left").select("_lm_id", "_lm_text", "skip")
+    rows = _lines(src, "skip").where("skip is null or not array_contains(skip, i)")
+    table = rarity_classes(docs)
+    hashes = F.array_distinct(F.transform(F.array_remove(pieces("line"), ""), lambda w: F.xxhash64(w)))
+    code = F.transform(hashes, lambda h: F.shiftleft(table[h.bitwiseAND(BUCKETS - 1).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    rows = rows.select(*AT, F.sort_array(code).alias("c"))
+    n = F.size("c")
+    one = F.lit(1).cast("long")
+    bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(63).cast("int"))
+    parity = F.aggregate("c", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(bit(c)))
+    quarter = lambda q: F.aggregate("c", F.lit(0).cast("long"), lambda x, c: F.when(F.shiftrightunsigned(c, 6).bitwiseAND(3) == q, x.bitwiseXOR(bit(c))).otherwise(x))
+    more = F.when(n > LONG, F.array(*[quarter(q) for q in range(1, 4)]))
+    rows = rows.select(*AT, n.cast("int").alias("n"), F.when(n > LONG, quarter(0)).otherwise(parity).alias("a"), more.alias("b"), F.slice("c", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")).alias("c"))
+    rows = rows.select(*AT, "n", "a", "b", F.posexplode_outer("c").alias("p", "c"))
+    level = F.least(F.lit(61), F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9)).cast("int")
+    return rows.select(F.shiftrightunsigned("c", 12).bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), *AT, "n", "p", "a", "b").withColumn("level", level)
+
+
+def _shared(posts: DataFrame) -> DataFrame:
+    """The postings of words that stand in another prefix too, of a line of about the same length."""
+    posts = posts.repartition("w")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    masks = posts.groupBy("w", "level").agg(F.count("*").alias("c")).groupBy("w").agg(F.bit_or(one).alias("any"), F.bit_or(F.when(F.col("c") > 1, one).otherwise(0)).alias("many"), F.sum("c").alias("c")).where("c > 1")
+    bits = F.col("many").bitwiseOR(F.shiftleft("any", 1)).bitwiseOR(F.shiftrightunsigned("any", 1))
+    masks = masks.select(F.col("w").alias("mw"), bits.alias("bits"))
+    return posts.join(masks.hint("shuffle_hash"), F.col("w") == F.col("mw")).where(F.col("bits").bitwiseAND(one) != 0).drop("mw", "bits")
+
+
+def _near(threshold: float) -> Column:
+    """Whether lines y and x, which share a word, pass the length, positional and parity filters."""
     total = F.col("y.n") + F.col("x.n")
-    need = F.ceil(threshold / (1 + threshold) * total - 1e-9)
+    most = total - 2 * F.ceil(threshold / (1 + threshold) * total - 1e-9)
     # at the first word that two lines share, all words before it differ, and the rests differ by their lengths at least
     apart = F.col("y.p") + F.col("x.p") + F.abs((F.col("y.n") - F.col("y.p")) - (F.col("x.n") - F.col("x.p")))
-    differ = lambda c: F.bit_count(F.col(f"y.{c}").bitwiseXOR(F.col(f"x.{c}")))
-    most = total - 2 * need
-    both_b = (F.col("y.n") <= LONG) | (F.col("x.n") <= LONG) | (differ("b") <= most)
-    first = _before("x", "y")
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    quarters = bits(F.col("y.a"), F.col("x.a"))
+    whole = {}
+    for p in "yx":
+        b = F.col(f"{p}.b")
+        whole[p] = F.when(b.isNull(), F.col(f"{p}.a")).otherwise(F.col(f"{p}.a").bitwiseXOR(b[0]).bitwiseXOR(b[1]).bitwiseXOR(b[2]))
+    for q in range(3):
+        quarters = quarters + bits(F.col("y.b")[q], F.col("x.b")[q])
+    differ = F.when(F.least("y.n", "x.n") > LONG, quarters).otherwise(bits(whole["y"], whole["x"]))
+    length = F.least("y.n", "x.n") >= threshold * F.greatest("y.n", "x.n") - 1e-9
+    return length & (apart <= most) & (differ <= most)
+
+
+def _at(p: str) -> Column:
+    return F.struct(*[F.col(f"{p}.{c}") for c in AT])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """d, h, i of the later lines of the pairs (d, h, i, xd, xh, xi) that reach the threshold."""
+    pairs = written(pairs.distinct(), "line_pairs")
+    wanted = pairs.select(*AT).union(pairs.select("xd", "xh", "xi")).distinct()
+    wanted = written(wanted.select(*[F.col(c).alias(f"w{c}") for c in AT]), "wanted")
+    held = wanted.select("wd", "wh").distinct()
+    src = docs.join(small_side(held), docs["_lm_id"].eqNullSafe(F.col("wd")) & (F.xxhash64("_lm_text") == F.col("wh")), "left_semi")
+    same = lambda p, q: F.col(f"{p}d").eqNullSafe(F.col(f"{q}d")) & (F.col(f"{p}h") == F.col(f"{q}h")) & (F.col(f"{p}i") == F.col(f"{q}i"))
+    lines = _lines(src).join(small_side(wanted), same("", "w"), "left_semi").dropDuplicates(AT)
+    lines = written(lines.select(*AT, F.array_remove(F.array_distinct(pieces("line")), "").alias("words")), "wanted_lines")
+    side = lambda p, c: lines.select(*[F.col(x).alias(p + x) for x in AT], F.col("words").alias(c))
+    pairs = pairs.join(side("k", "a"), same("", "k")).join(side("l", "b"), same("x", "l"))
+    enough = F.size(F.array_intersect("a", "b")) >= threshold / (1 + threshold) * (F.size("a") + F.size("b")) - 1e-9
+    return pairs.where(enough).select(*AT).distinct()
+
+
+def _hub_pairs(posts: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Pairs of a line that is open and the hub of one of its groups, the later line first.
+
+    The hub is the first line of the group in the first round, and one by a
+    hash in the others.
+    """
+    rank = F.struct(*AT) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), *AT).alias("r"), *AT)
+    # near copies choose the same words, of which long lines have many
+    step = F.when(F.col("n") <= 12, 1).when(F.col("n") <= 32, 2).when(F.col("n") <= 100, 4).otherwise(8)
+    some = posts.where(F.pmod(F.xxhash64("w", F.lit(turn)), step) == 0)
+    hub = some.groupBy("w", "level").agg(F.min_by(F.struct(*AT, "n", "p", "a", "b", "open"), rank).alias("x"), F.count("*").alias("c")).where("c > 1")
+    rows = some.alias("y").join(hub.select(F.col("w").alias("xw"), F.col("level").alias("xlevel"), "x"), (F.col("w") == F.col("xw")) & (F.col("level") == F.col("xlevel")))
+    rows = rows.where(_near(threshold) & (_at("y") != _at("x")))
+    back = _at("x") > _at("y")
+    ends = [F.when(back, F.col(f"{s}.{c}")).otherwise(F.col(f"{o}.{c}")).alias(n + c) for s, o, n in (("x", "y", ""), ("y", "x", "x")) for c in AT]
+    return rows.where(F.when(back, F.col("x.open")).otherwise(F.col("y.open"))).select(*ends).distinct()
+
+
+def _all_pairs(posts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of an open line and an earlier line that share a posting and pass the filters.
+
+    The longer line y of a pair meets the shorter line x; a shorter line needs
+    only its first n - ceil(2t / (1 + t) * n) + 1 words for that. Lines meet
+    the shorter ones of their own level of length and of the level below.
+    """
+    inner = F.col("p") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
+    y = posts.alias("y")
+    x = posts.where(inner).withColumn("level", F.explode(F.array_distinct(F.array(F.col("level"), F.least(F.lit(61), F.col("level") + 1))))).alias("x")
+    first = _at("x") < _at("y")
     turn = (F.col("x.n") < F.col("y.n")) & F.when(first, F.col("y.open")).otherwise(F.col("x.open")) | (F.col("x.n") == F.col("y.n")) & first & F.col("y.open")
-    cond = (F.col("y.w") == F.col("x.w")) & (F.col("y.level") == F.col("x.level")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (apart <= most) & (differ("a") <= most) & both_b & turn
-    ends = [(F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{o}.{c}"))).alias(n + c) for s, o, n in (("y", "x", ""), ("x", "y", "x")) for c in ("d", "h", "i")]
-    return y.join(x, cond).select(*ends).distinct()
+    rows = y.join(x, (F.col("y.w") == F.col("x.w")) & (F.col("y.level") == F.col("x.level")) & (F.col("x.n") <= F.col("y.n")) & _near(threshold) & turn)
+    ends = [F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{o}.{c}")).alias(n + c) for s, o, n in (("y", "x", ""), ("x", "y", "x")) for c in AT]
+    return rows.select(*ends)
+
+
+def _close(posts: DataFrame, closed: DataFrame) -> DataFrame:
+    """The postings with ``open``; groups that a closed line alone is left of, and groups without an open line, go."""
+    shut = small_side(closed.select(*[F.col(c).alias(f"c{c}") for c in AT]).withColumn("shut", F.lit(True)))
+    hit = F.col("d").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")) & (F.col("i") == F.col("ci"))
+    return posts.drop("open").join(shut, hit, "left").withColumn("open", F.col("shut").isNull()).drop("cd", "ch", "ci", "shut")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """d, h, i of the lines to remove, from columns _lm_id and _lm_text."""
-    settled = written(_leaders(_lines(docs), docs, threshold), "settled")
-    marks = settled.groupBy("d", "h").agg(F.collect_set(F.when(F.col("equal"), F.col("i"))).alias("equal"), F.collect_set("i").alias("done"))
-    marks = small_side(marks, 200_000)
-    src = docs.select(F.col("_lm_id").alias("id"), F.xxhash64("_lm_text").alias("th"), F.col("_lm_text").alias("text"))
-    none = F.array().cast("array<int>")
-    rows = src.join(marks, src["id"].eqNullSafe(marks["d"]) & (src["th"] == marks["h"]), "left")
-    rows = rows.select(F.col("id").alias("d"), F.col("th").alias("h"), "text", F.coalesce("equal", none).alias("equal"), F.coalesce("done", none).alias("done"))
-    # repeated rows of one document are one
-    posts = _postings(rows, rarity_classes(docs), threshold)
-    with kept_partitioning(docs.sparkSession):
-        pairs = written(_candidates(posts, threshold), "line_pairs")
-    return settled.select("d", "h", "i").unionByName(_jaccard(pairs, docs, threshold)).distinct()
+    rows = docs.groupBy("_lm_id", F.xxhash64("_lm_text").alias("h")).count()
+    if rows.where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates()  # repeated rows of one document are one
+    equal = written(_equal_lines(docs), "equal_lines")
+    posts = written(_shared(_postings(docs, equal, threshold)).withColumn("open", F.lit(True)), "postings")
+    closed, before = None, None
+    for turn in range(ROUNDS):
+        new = written(_verified(_hub_pairs(posts, turn, threshold), docs, threshold), "closed")
+        closed = new if closed is None else closed.unionByName(new)
+        posts = _close(posts, new if turn == 0 else closed)
+        # what the join of all pairs would look at, over the postings
+        groups = posts.groupBy("w", "level").agg(F.count("*").cast("double").alias("c"), F.count_if("open").cast("double").alias("o"))
+        size = groups.agg(F.sum(F.col("c") * F.col("o")).alias("pairs"), F.sum("c").alias("rows")).first()
+        if not size["rows"] or size["pairs"] <= FEW * size["rows"] or (before is not None and size["pairs"] > before / 2):
+            break
+        before = size["pairs"]
+    rest = _verified(_all_pairs(posts, threshold), docs, threshold)
+    return equal.unionByName(closed).unionByName(rest).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of ``docs``, the text without removed lines, and _lm_removed (array of line numbers from 0)."""
-    src = docs.select(F.col(id_col).alias("_lm_id"), F.col(text_col).alias("_lm_text"))
-    gone = written(removed_lines(src, threshold), "removed").groupBy("d", "h").agg(F.array_sort(F.collect_set("i")).alias("_lm_removed"))
-    out = docs.join(small_side(gone, 200_000), docs[id_col].eqNullSafe(gone["d"]) & (F.xxhash64(docs[text_col]) == gone["h"]), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_lm_removed", i)), "\n")
-    text = F.when(F.col("_lm_removed").isNull(), F.col(text_col)).otherwise(kept)
-    cols = [text.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns]
-    return out.select(*cols, F.coalesce("_lm_removed", F.array().cast("array<int>")).alias("_lm_removed"))
+    """The columns of ``docs``, the text without removed lines, and _lm_removed (array of line numbers from 0).
+
+    A column of the input that is called _lm_removed is replaced.
+    """
+    src, inner = apart(docs)
+    lm = src.select(F.col(inner[id_col]).alias("_lm_id"), F.col(inner[text_col]).alias("_lm_text"))
+    gone = written(removed_lines(lm, threshold), "removed").groupBy("d", "h").agg(F.array_sort(F.collect_set("i")).alias("removed"))
+    gone = small_rows(gone, "removed")
+    text = F.col(inner[text_col])
+    out = src.join(gone, F.col(inner[id_col]).eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("h")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    kept = F.when(F.col("removed").isNull(), text).otherwise(kept)
+    cols = [(kept if c == text_col else F.col(inner[c])).alias(c) for c in docs.columns if c != "_lm_removed"]
+    return out.select(*cols, F.coalesce("removed", F.array().cast("array<int>")).alias("_lm_removed"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

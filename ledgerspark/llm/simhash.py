@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_bytes, chunks, read_table, run_hash, small_side, written
-from .line_dedup import CLASSES, rarity_classes
 
 SEED = 42
+#: Buckets of hashed shingles in the table of rarity classes.
+CLASSES = 1 << 18
 TILE_ROWS = 8192
 
 
@@ -223,6 +224,24 @@ def _count_shingles(k: int):
     return run
 
 
+def rarity_classes(docs: DataFrame, count) -> bytes:
+    """The class of each bucket of what ``count`` counts: its count over all texts, on a log scale.
+
+    The table has ``CLASSES`` entries whatever the data.
+    """
+    counts = docs.select("_lm_text").mapInArrow(count, "b long, n long")
+    every = docs.sparkSession.range(CLASSES).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+    c = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
+    c = c.select(F.shiftright("b", 10).alias("hi"), "b", F.when(F.col("n") > 0, F.least(F.lit(120), 1 + F.floor(3 * F.log2("n")))).otherwise(0).cast("int").alias("c"))
+    # a row for each 1024 buckets, as hexadecimal text: the table goes to the driver as CLASSES / 1024 strings
+    rows = c.groupBy("hi").agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("m"))
+    text = F.array_join(F.transform("m", lambda x: F.lpad(F.hex(x["c"]), 2, "0")), "")
+    table = bytearray(CLASSES)
+    for r in rows.select("hi", text.alias("text")).collect():
+        table[r["hi"] * 1024 : (r["hi"] + 1) * 1024] = bytes.fromhex(r["text"])
+    return bytes(table)
+
+
 def _prefixes(classes: bytes, k: int, threshold: float):
     """The rarest n - ceil(threshold * n) + 1 shingles of each text; texts without words have posting 0."""
     scale = np.frombuffer(classes, np.uint8)
