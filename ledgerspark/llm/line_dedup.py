@@ -31,8 +31,10 @@ the ones used here.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import apart, read_table, small_rows, small_side, written
@@ -59,12 +61,12 @@ def pieces(line: str) -> Column:
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """d, h (hash of the text), i, line; one row per line with a word.
+    """d, h (hash of the text, or 0 where ids are unique), i, line; one row per line with a word.
 
     Arrays are exploded in the outer form here and below: for the inner one
     the optimiser works out the array once more to test for emptiness.
     """
-    rows = docs.select(F.col("_lm_id").alias("d"), F.xxhash64("_lm_text").alias("h"), *more, F.posexplode_outer(F.split("_lm_text", "\n")).alias("i", "line"))
+    rows = docs.select(F.col("_lm_id").alias("d"), F.col("_lm_h").alias("h"), *more, F.posexplode_outer(F.split("_lm_text", "\n")).alias("i", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -97,8 +99,7 @@ def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
     candidates which the filters and the verification refuse.
     """
     marks = small_rows(equal.groupBy(F.col("d").alias("md"), F.col("h").alias("mh")).agg(F.collect_set("i").alias("skip")), "skip")
-    src = docs.withColumn("_lm_h", F.xxhash64("_lm_text"))
-    src = src.join(marks, src["_lm_id"].eqNullSafe(marks["md"]) & (src["_lm_h"] == marks["mh"]), "left").select("_lm_id", "_lm_text", "skip")
+    src = docs.join(marks, docs["_lm_id"].eqNullSafe(marks["md"]) & (docs["_lm_h"] == marks["mh"]), "left").select("_lm_id", "_lm_h", "_lm_text", "skip")
     rows = _lines(src, "skip").where("skip is null or not array_contains(skip, i)")
     table = rarity_classes(docs)
     hashes = F.array_distinct(F.transform(F.array_remove(pieces("line"), ""), lambda w: F.xxhash64(w)))
@@ -116,9 +117,31 @@ def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
     return rows.select(F.shiftrightunsigned("c", 12).bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), *AT, "n", "p", "a", "b").withColumn("level", level)
 
 
+def shuffled_once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` partitioned by a key, such that several uses in one plan share the shuffle.
+
+    The filter is not deterministic, as filters and projections of one use
+    would else go below the shuffle and make it another one.
+    """
+    df = df.repartition(key)
+    return df.where(F.when(F.monotonically_increasing_id() >= 0, F.lit(True)).otherwise(F.hash(*df.columns) > 0))
+
+
+@contextmanager
+def kept_partitioning(spark: SparkSession) -> Iterator[None]:
+    """Joins on a word and a level take rows that are partitioned by the word alone as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _shared(posts: DataFrame) -> DataFrame:
     """The postings of words that stand in another prefix too, of a line of about the same length."""
-    posts = posts.repartition("w")
+    posts = shuffled_once(posts, "w")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
     masks = posts.groupBy("w", "level").agg(F.count("*").alias("c")).groupBy("w").agg(F.bit_or(one).alias("any"), F.bit_or(F.when(F.col("c") > 1, one).otherwise(0)).alias("many"), F.sum("c").alias("c")).where("c > 1")
     bits = F.col("many").bitwiseOR(F.shiftleft("any", 1)).bitwiseOR(F.shiftrightunsigned("any", 1))
@@ -155,7 +178,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     wanted = pairs.select(*AT).union(pairs.select("xd", "xh", "xi")).distinct()
     wanted = written(wanted.select(*[F.col(c).alias(f"w{c}") for c in AT]), "wanted")
     held = wanted.select("wd", "wh").distinct()
-    src = docs.join(small_side(held), docs["_lm_id"].eqNullSafe(F.col("wd")) & (F.xxhash64("_lm_text") == F.col("wh")), "left_semi")
+    src = docs.join(small_side(held), docs["_lm_id"].eqNullSafe(F.col("wd")) & (F.col("_lm_h") == F.col("wh")), "left_semi")
     same = lambda p, q: F.col(f"{p}d").eqNullSafe(F.col(f"{q}d")) & (F.col(f"{p}h") == F.col(f"{q}h")) & (F.col(f"{p}i") == F.col(f"{q}i"))
     lines = _lines(src).join(small_side(wanted), same("", "w"), "left_semi").dropDuplicates(AT)
     lines = written(lines.select(*AT, F.array_remove(F.array_distinct(pieces("line")), "").alias("words")), "wanted_lines")
@@ -191,6 +214,7 @@ def _all_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     the shorter ones of their own level of length and of the level below.
     """
     inner = F.col("p") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
+    posts = shuffled_once(posts, "w")
     y = posts.alias("y")
     x = posts.where(inner).withColumn("level", F.explode(F.array_distinct(F.array(F.col("level"), F.least(F.lit(61), F.col("level") + 1))))).alias("x")
     first = _at("x") < _at("y")
@@ -208,10 +232,7 @@ def _close(posts: DataFrame, closed: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """d, h, i of the lines to remove, from columns _lm_id and _lm_text."""
-    rows = docs.groupBy("_lm_id", F.xxhash64("_lm_text").alias("h")).count()
-    if rows.where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates()  # repeated rows of one document are one
+    """d, h, i of the lines to remove, from columns _lm_id, _lm_h and _lm_text."""
     equal = written(_equal_lines(docs), "equal_lines")
     posts = written(_shared(_postings(docs, equal, threshold)).withColumn("open", F.lit(True)), "postings")
     closed, before = None, None
@@ -225,7 +246,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not size["rows"] or size["pairs"] <= FEW * size["rows"] or (before is not None and size["pairs"] > before / 2):
             break
         before = size["pairs"]
-    rest = _verified(_all_pairs(posts, threshold), docs, threshold)
+    with kept_partitioning(docs.sparkSession):
+        pairs = written(_all_pairs(posts, threshold), "all_pairs")
+    rest = _verified(pairs, docs, threshold)
     return equal.unionByName(closed).unionByName(rest).distinct()
 
 
@@ -236,10 +259,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src, inner = apart(docs)
     lm = src.select(F.col(inner[id_col]).alias("_lm_id"), F.col(inner[text_col]).alias("_lm_text"))
+    again = lm.groupBy("_lm_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    h = F.xxhash64(inner[text_col]) if again else F.lit(0).cast("long")
+    lm = lm.withColumn("_lm_h", F.xxhash64("_lm_text")).dropDuplicates(["_lm_id", "_lm_h"]) if again else lm.withColumn("_lm_h", h)
     gone = written(removed_lines(lm, threshold), "removed").groupBy("d", "h").agg(F.array_sort(F.collect_set("i")).alias("removed"))
     gone = small_rows(gone, "removed")
     text = F.col(inner[text_col])
-    out = src.join(gone, F.col(inner[id_col]).eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("h")), "left")
+    out = src.join(gone, F.col(inner[id_col]).eqNullSafe(F.col("d")) & (h == F.col("h")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     kept = F.when(F.col("removed").isNull(), text).otherwise(kept)
     cols = [(kept if c == text_col else F.col(inner[c])).alias(c) for c in docs.columns if c != "_lm_removed"]
