@@ -143,10 +143,12 @@ def _kept(min_words: int):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text, removed_spans.
 
-    Rows are told apart by (id, hash of the text), so rows that repeat an id
-    with another text keep their own spans.
+    Where ids repeat, rows are told apart by (id, hash of the text), so rows
+    that repeat an id with another text keep their own spans.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    again = src.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    src = src.withColumn("th", F.xxhash64("text") if again else F.lit(0).cast("long"))
     kind = f"doc_id {dict(src.dtypes)['doc_id']}, th long, "
     seeds = written(src.mapInArrow(_seeds(min_words, shingle), kind + "first int, n int, anchor long, extent long"), "seeds")
     place = F.xxhash64("doc_id", "th", "first")
