@@ -43,6 +43,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _sweep(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more go with the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
@@ -51,12 +57,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    # shuffle files of plans that nothing refers to any more go with the driver's garbage
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _sweep(spark)
+    kind = df.schema
     df.write.parquet(path)
+    del df
+    _sweep(spark)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(kind).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:

@@ -152,21 +152,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = f"doc_id {dict(src.dtypes)['doc_id']}, th long, "
     seeds = written(src.mapInArrow(_seeds(min_words, shingle), kind + "first int, n int, anchor long, extent long"), "seeds")
     place = F.xxhash64("doc_id", "th", "first")
-    extents = seeds.groupBy("anchor", "extent").agg(F.count("*").alias("places"), F.min(place).alias("rep"))
-    anchors = extents.groupBy("anchor").agg(F.sum("places").alias("total"), F.count("*").alias("kinds")).where("total >= 2")
-    repeated = extents.join(anchors, "anchor")
-    marks = (
-        seeds.join(repeated, ["anchor", "extent"])
-        .withColumn("full", F.col("places") >= 2)
-        .withColumn("ask", (F.col("kinds") >= 2) & (place == F.col("rep")))
-        .where("full or ask")
-        .select("doc_id", "th", "first", "n", "anchor", "full", "ask")
-    )
-    marks = written(marks, "marks")
-    asked = marks.where("ask").groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "anchor", (~F.col("full")).alias("single"))).alias("asked"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    wins = src.join(asked, same(src, asked)).select(src["doc_id"], src["th"], "text", "asked")
-    wins = written(wins.mapInArrow(_windows(min_words, shingle), kind + "first int, anchor long, window long, single boolean"), "windows")
+
+    # plans in functions of their own, as shuffle files stay as long as a frame of their plan has a name
+    def marked() -> DataFrame:
+        extents = seeds.groupBy("anchor", "extent").agg(F.count("*").alias("places"), F.min(place).alias("rep"))
+        anchors = extents.groupBy("anchor").agg(F.sum("places").alias("total"), F.count("*").alias("kinds")).where("total >= 2")
+        all_marks = seeds.join(extents.join(anchors, "anchor"), ["anchor", "extent"])
+        all_marks = all_marks.withColumn("full", F.col("places") >= 2).withColumn("ask", (F.col("kinds") >= 2) & (place == F.col("rep")))
+        return all_marks.where("full or ask").select("doc_id", "th", "first", "n", "anchor", "full", "ask")
+
+    marks = written(marked(), "marks")
+
+    def asked_windows() -> DataFrame:
+        asked = marks.where("ask").groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "anchor", (~F.col("full")).alias("single"))).alias("asked"))
+        held = src.join(asked, same(src, asked)).select(src["doc_id"], src["th"], "text", "asked")
+        return held.mapInArrow(_windows(min_words, shingle), kind + "first int, anchor long, window long, single boolean")
+
+    wins = written(asked_windows(), "windows")
     # two different places, as a row that repeats another's id and text asks for the same place again
     twice = wins.groupBy("anchor", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("anchor", "window")
     part = wins.where("single").join(twice, ["anchor", "window"], "left_semi").select("doc_id", "th", "first", F.lit(1).alias("n"))
