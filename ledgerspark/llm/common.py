@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -44,9 +45,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def _sweep(spark: SparkSession) -> None:
-    """Shuffle files of plans that nothing refers to any more go with the driver's garbage."""
+    """Shuffle files of plans that nothing refers to any more go with the driver's garbage, which takes two rounds."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0.0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -57,7 +60,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _sweep(spark)
     kind = df.schema
     df.write.parquet(path)
     del df

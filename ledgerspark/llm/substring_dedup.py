@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_bytes, chunks, read_table, run_hash, written
+from .common import Words, arrow_bytes, chunks, drop_written, read_table, run_hash, written
 
 MIN_WORDS = 35
 SHINGLE = 8
@@ -163,6 +163,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return all_marks.where("full or ask").select("doc_id", "th", "first", "n", "anchor", "full", "ask")
 
     marks = written(marked(), "marks")
+    drop_written(seeds)
 
     def asked_windows() -> DataFrame:
         asked = marks.where("ask").groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "anchor", (~F.col("full")).alias("single"))).alias("asked"))
