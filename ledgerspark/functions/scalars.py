@@ -44,7 +44,7 @@ HINT_STRIP = [
     r"\b(?:MONTHLY|MAINTAINANCE|MAINTENANCE|PROCESSING|FEE|CHG|CHARGES|AMC|INTEREST|SETTLEMENT|GATEWAY|PAYMENT|TRANSACTION|BALANCE|QUARTERLY|REVERSAL|CANCELLED|REFUND|INVALID|SIGNATURE|RETURN)\b",
 ]
 UTR_LABELLED, UTR_BARE = r"(?i)\b(?:UTR|NUTR|SICN|CIBN|UTI|OTH)\s*[:\-]?\s*(\d{12,17})\b", r"\b(\d{16,17})\b"
-DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy", "d MMM yyyy", "d.M.yyyy", "yyyy/M/d", "yyyyMMdd"]
+DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "dMMMyy", "yyyy/M/d"]
 
 
 def col(x: Column | str) -> Column:

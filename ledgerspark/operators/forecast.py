@@ -12,6 +12,8 @@ from ..settings import RULES
 LOW, HIGH = -45, 120
 BINS = HIGH - LOW + 1
 SHRINK, FLOOR, SIGMA = 8.0, 0.0015, 5.0
+#: Probability of payment of a party without any known document.
+UNSEEN = 0.9
 
 
 def flows_by_day(lines: DataFrame) -> DataFrame:
@@ -20,6 +22,11 @@ def flows_by_day(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.col("txn_date").alias("day")).agg(F.sum(F.when(a > 0, a).otherwise(0)).alias("inflow"), F.sum(F.when(a < 0, -a).otherwise(0)).alias("outflow"))
 
 
+def _received(flows: DataFrame, as_of: Column | None) -> DataFrame:
+    got = flows.where("inflow > 0")
+    return got if as_of is None else got.where(F.col("day") <= as_of)
+
+
 def _index(flows: DataFrame, bucket: Column, first: int, last: int) -> DataFrame:
     """bucket, idx: mean flow of a bucket against all days, shrunk towards 1 and scaled to mean 1."""
     every = flows.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("bucket"))
@@ -32,12 +39,14 @@ def _index(flows: DataFrame, bucket: Column, first: int, last: int) -> DataFrame
     return j.select("bucket", F.round(F.col("raw") / F.avg("raw").over(all_), 4).alias("idx"))
 
 
-def weekday_index(flows: DataFrame) -> DataFrame:
-    return _index(flows, F.weekday("day"), 0, 6)
+def weekday_index(flows: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Over the days with an inflow, up to ``as_of``."""
+    return _index(_received(flows, as_of), F.weekday("day"), 0, 6)
 
 
-def month_index(flows: DataFrame) -> DataFrame:
-    return _index(flows, F.month("day"), 1, 12)
+def month_index(flows: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Over the days with an inflow, up to ``as_of``."""
+    return _index(_received(flows, as_of), F.month("day"), 1, 12)
 
 
 def party_behaviour(docs: DataFrame, cleared: DataFrame, as_of: Column, aged_days: int = 45, dust: int = 100) -> DataFrame:
@@ -73,14 +82,21 @@ def delay_density(counts: DataFrame, keys: list) -> DataFrame:
     return q.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy(*keys) if keys else Window.partitionBy()))
 
 
-def delay_pmf(counts: DataFrame) -> DataFrame:
-    """kind, party_code, pmf (array by bin): the party's density shrunk towards that of all, with a floor, summing to 1."""
+def delay_pmf(counts: DataFrame, parties: DataFrame | None = None) -> DataFrame:
+    """kind, party_code, pmf (array by bin): the party's density shrunk towards that of all, with a floor, summing to 1.
+
+    ``parties`` (kind, party_code) adds those without a delay, which follow all parties.
+    """
     bins = F.array(*[F.lit(b) for b in range(LOW, HIGH + 1)])
     as_array = lambda df, keys: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "q"))).alias("m")).select(*keys, F.transform(bins, lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0))).alias("q"))
     own = as_array(delay_density(counts, ["kind", "party_code"]), ["kind", "party_code"])
     n = counts.groupBy("kind", "party_code").agg(F.sum("c").alias("n"))
     whole = as_array(delay_density(counts.groupBy("delay").agg(F.sum("c").alias("c")), []), []).select(F.col("q").alias("g"), F.lit(1).alias("one"))
-    j = own.join(n, ["kind", "party_code"]).withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # one row of 166 numbers
+    own = own.join(n, ["kind", "party_code"])
+    if parties is not None:
+        zero = F.transform(bins, lambda b: F.lit(0.0))
+        own = parties.join(own, ["kind", "party_code"], "left").withColumns({"q": F.coalesce("q", zero), "n": F.coalesce("n", F.lit(0))})
+    j = own.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # one row of 166 numbers
     w = F.col("n") / (F.col("n") + SHRINK)
     raw = F.zip_with("q", "g", lambda q, g: w * q + (1 - w) * g + FLOOR / BINS)
     j = j.withColumn("raw", raw).withColumn("t", F.aggregate("raw", F.lit(0.0), lambda s, x: s + x))
@@ -169,9 +185,11 @@ def same_window_churn(docs: DataFrame, cleared: DataFrame, as_of: Column, horizo
 
 
 def prospective(churn: DataFrame) -> DataFrame:
-    """kind, expected: churn of the windows that have any, weighted .5, .25, .15, .10."""
+    """kind, expected: churn weighted .5, .25, .15, .10 over the windows in which any kind moved."""
     w = F.element_at(F.array(*[F.lit(x) for x in (0.5, 0.25, 0.15, 0.10)]), F.col("window") + 1)
-    return churn.groupBy("kind").agg((F.sum(F.col("churn") * w) / F.sum(w)).cast("long").alias("expected"))
+    total = churn.select("window").distinct().agg(F.sum(w).alias("total")).withColumn("one", F.lit(1))  # four windows at most
+    each = churn.groupBy("kind").agg(F.sum(F.col("churn") * w).alias("v")).withColumn("one", F.lit(1))
+    return each.join(total, "one").select("kind", (F.col("v") / F.col("total")).cast("long").alias("expected"))
 
 
 def seasonality_calendar(as_of: Column, horizon: int, weekdays: DataFrame, months: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from ..settings import RULES
 
 #: Doublings of the bin width in ``range_pairs``.
 LEVELS = 24
+#: Days of a bin of due dates, and the bin of documents whose dates give none.
+DAYS, ODD = 32, -(1 << 30)
 
 
 def line_index(lines: DataFrame) -> DataFrame:
@@ -128,21 +130,32 @@ def t4_candidates(lines: DataFrame, docs: DataFrame, rules: dict = RULES) -> Dat
 
 
 def range_pairs(lines: DataFrame, docs: DataFrame, slack: Column, width: int, tier: str, rules: dict = RULES) -> DataFrame:
-    """Pairs whose amounts differ by ``slack`` (of l_size) at most, by an equality join on bins.
-
-    Bins double in width by level. A line asks at the level that fits its
-    band, where the band touches two bins at most; documents stand once under
-    each level. Amounts beyond the top level's band are not expected (2^24
-    times ``width``); lines there use the top level and more bins.
+    """Pairs whose amounts differ by ``slack`` (of l_size) at most, and whose dates fit, by an equality join on bins.
+
+    Amount bins double in width by level. A line asks at the level that fits
+    its band, where the band touches two bins at most; documents stand once
+    under each level that any line asks for (25 at most). Amounts beyond the
+    top level's band are not expected (2^24 times ``width``); lines there use
+    the top level and more bins. Due dates have bins of ``DAYS``: a line can
+    only fit documents due from its floor before the date to its early days
+    after; documents that are due before they are dated, or lack a date, stand
+    in a bin that all lines ask for.
     """
     left, right = _pairs(line_index(lines), doc_index(docs))
     left = left.withColumn("slack", slack)
     level = F.when(F.col("slack") <= width, 0).otherwise(F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("slack") / width)).cast("int")))
     wide = lambda lv: F.lit(2 * width).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), lv)
-    left = left.withColumn("level", level).withColumn("bin", F.explode(F.sequence(F.floor((F.col("l_size") - F.col("slack")) / wide(F.col("level"))), F.floor((F.col("l_size") + F.col("slack")) / wide(F.col("level"))))))
-    right = right.withColumn("d_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("d_bin", F.floor(F.col("d_amount") / wide(F.col("d_level"))))
-    hits = left.join(right, (F.col("level") == F.col("d_level")) & (F.col("bin") == F.col("d_bin")) & (F.col("l_side") == F.col("d_kind")) & (F.abs(F.col("l_size") - F.col("d_amount")) <= F.col("slack")))
-    return hits.where(window(tier, rules)).drop("slack", "level", "bin", "d_level", "d_bin")
+    left = left.withColumn("level", level)
+    asked = sorted(r["level"] for r in left.select("level").distinct().collect())
+    left = left.withColumn("bin", F.explode(F.sequence(F.floor((F.col("l_size") - F.col("slack")) / wide(F.col("level"))), F.floor((F.col("l_size") + F.col("slack")) / wide(F.col("level"))))))
+    (early, late), floor = rules["date_windows_days"][tier], rules["date_windows_days"]["floor"]
+    number = lambda d, shift: F.floor((F.unix_date(d) + shift) / DAYS).cast("int")
+    left = left.withColumn("when", F.explode(F.concat(F.sequence(number(F.col("l_txn_date"), -(floor + late + early)), number(F.col("l_txn_date"), early)), F.array(F.lit(ODD)))))
+    right = right.withColumn("d_when", F.when(F.col("d_doc_date") <= F.col("d_due_date"), number(F.col("d_due_date"), 0)).otherwise(ODD))
+    right = right.withColumn("d_level", F.explode(F.array(*[F.lit(x) for x in asked]).cast("array<int>"))).withColumn("d_bin", F.floor(F.col("d_amount") / wide(F.col("d_level"))))
+    same = (F.col("level") == F.col("d_level")) & (F.col("bin") == F.col("d_bin")) & (F.col("when") == F.col("d_when")) & (F.col("l_side") == F.col("d_kind"))
+    hits = left.join(right, same & (F.abs(F.col("l_size") - F.col("d_amount")) <= F.col("slack")) & window(tier, rules))
+    return hits.drop("slack", "level", "bin", "when", "d_level", "d_bin", "d_when")
 
 
 def t5_candidates(lines: DataFrame, docs: DataFrame, rules: dict = RULES) -> DataFrame:
@@ -185,9 +198,11 @@ def lump_sums(cands: DataFrame, rules: dict = RULES) -> DataFrame:
 def t7_candidates(lines: DataFrame, docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """Scored pairs of like amount and name: within 2 % and a similarity of ``review_min``."""
     slack = F.greatest(S.tolerance("l_size", rules), (F.col("l_size") * F.lit(0.02)).cast("long"))
-    pairs = with_similarity(range_pairs(lines, docs, slack, 50_000, "fuzzy", rules), "l_hint", "d_name")
+    least = rules["name_similarity"]["review_min"]
+    pairs = range_pairs(lines, docs, slack, 50_000, "fuzzy", rules).select("l_seq", "l_line_id", "l_size", "l_hint", "d_seq", "d_doc_id", "d_amount", "d_name")
+    pairs = with_similarity(pairs, "l_hint", "d_name", least=least).drop("l_hint", "d_name")
     score = F.bround(F.col("sim") - 0.5 * F.abs(F.col("l_size") - F.col("d_amount")) / F.col("l_size"), 6)
-    return pairs.where(F.col("sim") >= rules["name_similarity"]["review_min"]).withColumn("score", score)
+    return pairs.where(F.col("sim") >= least).withColumn("score", score)
 
 
 def greedy_assignment(pairs: DataFrame, line: str = "l_seq", doc: str = "d_seq", score: str = "score", store=None) -> DataFrame:

@@ -116,15 +116,13 @@ ORACLES["fmt_inr"] = ORACLES["fmt_inr"].replace("'(\\d\\d)', '\\1,', 'g')) || ',
 DATES = "CASE k % 6 WHEN 0 THEN strftime(doc_date, '%Y-%m-%d') WHEN 1 THEN strftime(doc_date, '%d/%m/%Y') WHEN 2 THEN strftime(doc_date, '%d-%m-%Y') WHEN 3 THEN strftime(doc_date, '%Y-%m-%d') || 'T10:00:00+05:30' WHEN 4 THEN 'soon' ELSE strftime(doc_date, '%d-%m-%y') END"
 
 
-@query(rf"SELECT doc_id, {DATES} AS raw, CASE WHEN k % 6 <> 4 THEN CAST(doc_date AS VARCHAR) END AS parsed FROM ar_docs", "ar_docs")
+@query(rf"SELECT doc_id, {DATES} AS raw, CASE WHEN k % 6 = 5 AND year(doc_date) < 2000 THEN CAST(CAST(doc_date + INTERVAL 100 YEAR AS DATE) AS VARCHAR) WHEN k % 6 <> 4 THEN CAST(doc_date AS VARCHAR) END AS parsed FROM ar_docs", "ar_docs")
 def date_parse_multi(v):
     f = lambda p: F.date_format("doc_date", p)
     k = F.col("k") % 6
     raw = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("dd/MM/yyyy")).when(k == 2, f("dd-MM-yyyy")).when(k == 3, F.concat(f("yyyy-MM-dd"), F.lit("T10:00:00+05:30"))).when(k == 4, "soon").otherwise(f("dd-MM-yy"))
     # two-digit years are read as 20yy
-    d = v("ar_docs").select("doc_id", raw.alias("raw"), (k == 5).alias("short"))
-    p = S.parse_date("raw")
-    return d.select("doc_id", "raw", F.when(F.col("short") & (F.year(p) >= 2050), F.add_months(p, -1200)).otherwise(p).cast("string").alias("parsed"))
+    return v("ar_docs").select("doc_id", raw.alias("raw")).select("doc_id", "raw", S.parse_date("raw").cast("string").alias("parsed"))
 
 
 @query(f"SELECT doc_id, array_to_string({NORM.format('counterparty')}, ' ') AS name FROM docs", "docs")
@@ -263,18 +261,20 @@ def t6_token_candidates(v):
 
 
 @query(
-    """WITH g AS (SELECT party_code, (list(amount ORDER BY seq))[1:10] AS vs FROM ar_docs GROUP BY 1), t AS (SELECT *, coalesce(vs[2], 0) + coalesce(vs[5], 0) + coalesce(vs[7], 0) AS t FROM g WHERE len(vs) >= 2),
-    m AS (SELECT party_code, t, mask, list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN (mask >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN vs[i] ELSE 0 END)) AS s FROM t, unnest(range(1, 1 << len(vs))) u(mask))
-    SELECT party_code, count(*) AS n, CAST(min(mask) AS INTEGER) AS first_mask FROM m WHERE s = t AND bit_count(mask) BETWEEN 2 AND 6 GROUP BY 1""",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY party_code ORDER BY seq) - 1 AS i FROM ar_docs), g AS (SELECT party_code, i // 10 AS grp, list(amount ORDER BY seq) AS vs FROM n GROUP BY 1, 2), t AS (SELECT *, coalesce(vs[2], 0) + coalesce(vs[5], 0) + coalesce(vs[7], 0) AS t FROM g WHERE len(vs) >= 2),
+    m AS (SELECT party_code, grp, t, mask, list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN (mask >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN vs[i] ELSE 0 END)) AS s FROM t, unnest(range(1, 1 << len(vs))) u(mask))
+    SELECT party_code, CAST(grp AS BIGINT) AS grp, count(*) AS n, CAST(min(mask) AS INTEGER) AS first_mask FROM m WHERE s = t AND bit_count(mask) BETWEEN 2 AND 6 GROUP BY 1, 2""",
     "ar_docs",
 )
 def subset_sum(v):
     from pyspark.sql import Window
 
-    d = v("ar_docs").withColumn("i", F.row_number().over(Window.partitionBy("party_code").orderBy("seq")) - 1).where("i < 10")
-    g = d.groupBy("party_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "amount"))), lambda x: x["amount"]).alias("v"), F.sum(F.when(F.col("i").isin(1, 4, 6), F.col("amount"))).alias("t"))
-    g = g.withColumn("m", R.subset_sums("v", "t")).where("size(m) > 0")
-    return g.select("party_code", F.size("m").cast("long").alias("n"), F.array_min("m").alias("first_mask"))
+    # all documents of a party, ten at a time
+    d = v("ar_docs").withColumn("i", F.row_number().over(Window.partitionBy("party_code").orderBy("seq")) - 1)
+    d = d.withColumn("grp", F.floor(F.col("i") / 10)).withColumn("i", F.col("i") % 10)
+    g = d.groupBy("party_code", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "amount"))), lambda x: x["amount"]).alias("v"), F.sum(F.when(F.col("i").isin(1, 4, 6), F.col("amount"))).alias("t"))
+    g = g.where("size(v) >= 2").withColumn("t", F.coalesce("t", F.lit(0))).withColumn("m", R.subset_sums("v", "t")).where("size(m) > 0")
+    return g.select("party_code", "grp", F.size("m").cast("long").alias("n"), F.array_min("m").alias("first_mask"))
 
 
 
@@ -291,7 +291,7 @@ def t8_single_candidate(v):
 
 @query()
 def residual_pool(v):
-    pool = R.residual_pool(v("ar_lines").where("k % 17 = 0").select("line_id", "doc_id"), v("bank_lines").withColumn("amount", F.col("amount") * 2), v("docs"))
+    pool = R.residual_pool(v("ar_lines").select("line_id", "doc_id"), v("bank_lines").withColumn("amount", F.col("amount") * 2), v("docs"))
     return R.residual_allocation(pool).withColumn("doc_ids", F.array_join("doc_ids", ";"))
 
 
@@ -385,7 +385,7 @@ def flows_by_day(v):
 
 
 def _index_sql(bucket: str, first: int, last: int) -> str:
-    return f"""WITH f AS (SELECT txn_date AS day, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS v FROM bank_lines GROUP BY 1),
+    return f"""WITH f AS (SELECT txn_date AS day, CAST(sum(amount) AS DOUBLE) AS v FROM bank_lines WHERE amount > 0 AND txn_date <= {SQL_DAY} GROUP BY 1),
     b AS (SELECT CAST({bucket} AS INTEGER) AS bucket, avg(v) AS m, count(*) AS n FROM f GROUP BY 1), o AS (SELECT avg(v) AS m FROM f),
     r AS (SELECT CAST(x AS INTEGER) AS bucket, 1 + coalesce(n, 0) / (coalesce(n, 0) + 8.0::DOUBLE) * (coalesce(b.m / o.m, 1) - 1) AS raw FROM range({first}, {last + 1}) t(x) CROSS JOIN o LEFT JOIN b ON b.bucket = x)
     SELECT bucket, round(raw / avg(raw) OVER (), 4) AS idx FROM r"""
@@ -393,12 +393,12 @@ def _index_sql(bucket: str, first: int, last: int) -> str:
 
 @query(_index_sql("isodow(day) - 1", 0, 6), "bank_lines")
 def weekday_index(v):
-    return C.weekday_index(C.flows_by_day(v("bank_lines")))
+    return C.weekday_index(C.flows_by_day(v("bank_lines")), day())
 
 
 @query(_index_sql("month(day)", 1, 12), "bank_lines")
 def month_index(v):
-    return C.month_index(C.flows_by_day(v("bank_lines")))
+    return C.month_index(C.flows_by_day(v("bank_lines")), day())
 
 
 BEHAVE = f"""k AS (SELECT d.*, c.cleared_on, CAST(c.cleared_on - d.due_date AS INTEGER) AS delay, c.cleared_on IS NULL AND d.amount - d.paid > 100 AS op FROM docs d LEFT JOIN (SELECT * FROM cleared WHERE cleared_on <= {SQL_DAY}) c ON c.doc_id = d.doc_id WHERE d.doc_date <= {SQL_DAY}),
@@ -437,14 +437,17 @@ def delay_pmf(v):
 def _profiles(v):
     docs, cleared = v("docs"), v("cleared").where(F.col("cleared_on") <= day())
     b = C.party_behaviour(docs, cleared, day()).select("kind", "party_code", "p_paid")
-    pmf = C.delay_pmf(C.delay_counts(docs, cleared, day()))
+    pmf = C.delay_pmf(C.delay_counts(docs, cleared, day()), docs.select("kind", "party_code").distinct())
     open_ = docs.where(F.col("doc_date") <= day()).join(cleared, "doc_id", "left_anti").withColumn("outstanding", F.col("amount") - F.col("paid"))
-    return C.expected_profile(open_.join(b, ["kind", "party_code"]).join(pmf, ["kind", "party_code"]), day(), H)
+    seen = open_.join(b, ["kind", "party_code"], "left").withColumn("p_paid", F.coalesce("p_paid", F.lit(C.UNSEEN)))
+    return C.expected_profile(seen.join(pmf, ["kind", "party_code"]), day(), H)
 
 
-PROFILE = BEHAVE + ",\n" + PMF + f""",
+# parties that have documents but no known delay follow all parties
+PMF_ALL = PMF.replace("np AS (SELECT kind, party_code, sum(c) AS n FROM cnt GROUP BY 1, 2)", "np AS (SELECT kind, party_code, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT kind, party_code FROM docs) z LEFT JOIN cnt USING (kind, party_code) GROUP BY 1, 2)")
+PROFILE = BEHAVE + ",\n" + PMF_ALL + f""",
     op AS (SELECT d.doc_id, d.kind, d.party_code, d.amount - d.paid AS outstanding, CAST({SQL_DAY} - d.due_date AS INTEGER) AS age, p_paid FROM docs d JOIN beh ON beh.kind = d.kind AND beh.party_code = d.party_code
-      WHERE d.doc_date <= {SQL_DAY} AND d.doc_id NOT IN (SELECT doc_id FROM cleared WHERE cleared_on <= {SQL_DAY}) AND EXISTS (SELECT 1 FROM np WHERE np.kind = d.kind AND np.party_code = d.party_code)),
+      WHERE d.doc_date <= {SQL_DAY} AND d.doc_id NOT IN (SELECT doc_id FROM cleared WHERE cleared_on <= {SQL_DAY})),
     cum AS (SELECT kind, party_code, bin, q, sum(q) OVER (PARTITION BY kind, party_code ORDER BY bin DESC) - q AS above FROM pmf),
     tl AS (SELECT op.*, CASE WHEN age >= 120 THEN 0 WHEN age < -45 THEN 1 ELSE above END AS tail FROM op LEFT JOIN cum ON cum.kind = op.kind AND cum.party_code = op.party_code AND cum.bin = age),
     br AS (SELECT *, p_paid * tail + 1 - p_paid AS den, CASE WHEN outstanding <= 100 THEN 'dust' WHEN age < -75 THEN 'beyond' WHEN age >= 120 THEN 'hazard' WHEN p_paid * tail + 1 - p_paid <= 1e-9 THEN 'starved' ELSE 'pmf' END AS branch FROM tl),
@@ -461,7 +464,7 @@ def expected_profile(v):
 
 @query()
 def weekday_redistribute(v):
-    p = C.weekday_redistribute(_profiles(v), day(), C.weekday_index(C.flows_by_day(v("bank_lines"))))
+    p = C.weekday_redistribute(_profiles(v), day(), C.weekday_index(C.flows_by_day(v("bank_lines")), day()))
     return p.select("doc_id", "branch", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.get("p", 0), 5).alias("first_day"))
 
 
@@ -503,7 +506,7 @@ def same_window_churn(v):
     return C.same_window_churn(v("docs"), v("cleared"), day(), H)
 
 
-@query(f"WITH {CHURN}, z AS (SELECT w, kind, sum(CASE WHEN inside THEN amount ELSE 0 END) AS churn, CAST([0.5, 0.25, 0.15, 0.10][w + 1] AS DOUBLE) AS f FROM ch GROUP BY 1, 2) SELECT kind, CAST(trunc(sum(churn * f) / sum(f)) AS BIGINT) AS expected FROM z GROUP BY 1", "docs", "cleared")
+@query(f"WITH {CHURN}, z AS (SELECT w, kind, sum(CASE WHEN inside THEN amount ELSE 0 END) AS churn, CAST([0.5, 0.25, 0.15, 0.10][w + 1] AS DOUBLE) AS f FROM ch GROUP BY 1, 2) SELECT kind, CAST(trunc(sum(churn * f) / (SELECT sum(f) FROM (SELECT DISTINCT w, f FROM z) y)) AS BIGINT) AS expected FROM z GROUP BY 1", "docs", "cleared")
 def prospective(v):
     return C.prospective(C.same_window_churn(v("docs"), v("cleared"), day(), H))
 
