@@ -1,29 +1,33 @@
 """Operator 1, main text of web pages by wrapper induction.
 
-Pages of one host are aligned by simple tree matching (Yang 1991). Each task
-takes a host's pages as it meets them, aligns every page's tree with the first
-one, and counts for each aligned text node the text it holds. These counts,
-added up over all tasks, tell constant nodes (template) from varying slots
-(content): a text that fills the same node on ``TEMPLATE_SHARE`` of a host's
-different pages, of which there must be ``TEMPLATE_PAGES`` at least, is
-template. Counting takes one row per node and distinct page, not per pair of
-pages, and never gathers a host's pages in one task.
+Pages of one host are aligned by simple tree matching (Yang 1991) with one
+reference page of the host, the one with the smallest hash, and the texts of
+each aligned text node are counted. These counts tell constant nodes
+(template) from varying slots (content): a text that fills the same node on
+``TEMPLATE_SHARE`` of a host's different pages, of which there must be
+``TEMPLATE_PAGES`` at least, is template, and is dropped at that node only.
+Counting takes one row per node and distinct page, not per pair of pages, and
+never gathers a host's pages in one task.
 
 Slots lie in regions. Menus, headers, footers, sidebars, notices, adverts,
 forms, scripts and reader comments often vary from page to page too, so slots
 in regions with such a role (tag, ARIA role, class or id) are no content, and
-if the page has an article or main region, only slots in it are. ``header`` in
-an article is kept, as it holds the headline.
+if the page has article or main regions, only slots in them are, in page order.
+A class or id never drops the only main region. ``header`` in an article is
+kept, as it holds the headline.
 
 Contract cases: null and empty pages give an empty text; a null url, or one
 without a host, is a host of its own; broken or unclosed markup is read as
-far as it goes; repeated rows count once for the template.
+far as it goes, in time linear in the page but for the alignment of siblings,
+which has a bound; repeated rows count once for the template.
 """
 
 from __future__ import annotations
 
 import html as entities
+import marshal
 import re
+import zlib
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -50,96 +54,147 @@ CHROME_WORDS = set(
     "cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup "
     "login pagination pager masthead skip toolbar search searchform tags taboola outbrain copyright legal".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_WORDS = re.compile(r"[a-z]+")
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)")
+_ATTR = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+_VALUE = re.compile(r"\"[^\"]*+\"|'[^']*+'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
+_LETTERS = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+#: Class names with such a part say what an element has, not what it is.
+BESIDE = {"has", "with", "no", "without", "hide", "main"}
+#: Tags whose quotes have no end that are looked at to the end of the page; the rest of the page's tags end at the next ``>``.
+OPEN_QUOTES = 16
+#: Depth of the block tree; blocks below it are aligned in page order under their ancestor of that depth.
+DEPTH = 40
+#: Children times children up to which siblings are aligned by dynamic programming; beyond it, the k-th of a shape meets the k-th.
+CELLS = 250_000
+_MASK = (1 << 64) - 1
 
 
 class Node:
-    __slots__ = ("tag", "kids", "chrome", "main", "shape")
+    __slots__ = ("tag", "kids", "chrome", "main")
 
-    def __init__(self, tag: str, chrome: bool = False, main: bool = False):
-        self.tag, self.kids, self.chrome, self.main, self.shape = tag, [], chrome, main, None
+    def __init__(self, tag: str, chrome: int = 0, main: bool = False):
+        self.tag, self.kids, self.chrome, self.main = tag, [], chrome, main
 
 
-def _role(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
-    """(is chrome, is a main region) of an element."""
+def _is_chrome_name(value: str) -> bool:
+    """Whether one of the class or id names stands for chrome."""
+    for name in value.split():
+        parts = _LETTERS.findall(name)
+        if not CHROME_WORDS.isdisjoint(parts) and BESIDE.isdisjoint(parts):
+            return True
+    return False
+
+
+def _role(tag: str, attrs: str, inside_main: bool) -> tuple[int, bool]:
+    """(chrome: 0 no, 1 by tag or role, 2 by class or id; is a main region) of an element."""
     main = tag in ("article", "main")
-    chrome = tag in CHROME or (tag == "header" and not inside_main)
+    chrome = int(tag in CHROME or (tag == "header" and not inside_main))
     if attrs and "=" in attrs:
         for m in _ATTR.finditer(attrs):
             name = m[1].lower()
             value = (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                words = _WORDS.findall(value)
-                if tag not in ("html", "body", "article", "main") and not CHROME_WORDS.isdisjoint(words):
-                    chrome = True
+                if not chrome and tag not in ("html", "body", "article", "main") and _is_chrome_name(value):
+                    chrome = 2
             elif name == "role":
                 main = main or value in ("main", "article")
-                chrome = chrome or value in ROLES
+                chrome = 1 if value in ROLES else chrome
             elif name == "itemprop" and value == "articlebody":
                 main = True
             elif name == "aria-hidden" and value == "true":
-                chrome = True
-        if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-            chrome = True
-    elif attrs and re.search(r"(?:^|\s)hidden(?:\s|$)", attrs):
-        chrome = True
+                chrome = 1
+    if attrs and "hidden" in attrs and _HIDDEN.search(_VALUE.sub("", attrs)):
+        chrome = 1
     return chrome, main and not chrome
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that no end tag has to search them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.mains = [root], {}, [0], 0
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.mains += node.main
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
+            self.mains -= node.main
+
+
 def parse(page: str) -> Node:
-    """A forgiving tree: implied ends of p, li, table cells; stray ends are ignored; text kids are str."""
+    """A forgiving tree in time linear in the page: implied ends of p, li, table cells; stray ends are ignored; text kids are str.
+
+    A tag without ``>`` ends the page; one whose quotes have no end stops at
+    the next ``>``.
+    """
     root = Node("#root")
-    stack, pos, depth_main = [root], 0, 0
-    end = len(page)
+    held, pos, failed, closers = _Open(root), 0, 0, {}
+    end, last = len(page), page.rfind(">")
     while pos < end:
-        m = _TOKEN.search(page, pos)
-        if m is None:
-            if text := page[pos:]:
-                stack[-1].kids.append(text)
+        lt = page.find("<", pos)
+        if lt < 0:
+            held.stack[-1].kids.append(page[pos:])
             break
-        if m.start() > pos:
-            stack[-1].kids.append(page[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
+        if lt > pos:
+            held.stack[-1].kids.append(page[pos:lt])
+        if page.startswith("<!--", lt):
+            pos = _COMMENT.match(page, lt).end()
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?") and lt < last:
+            pos = page.index(">", lt) + 1
+            continue
+        m = _NAME.match(page, lt + 1)
+        if m is None:
+            held.stack[-1].kids.append("<")
+            pos = lt + 1
             continue
-        tag = m[2].lower()
+        if m.end() > last:
+            break
+        quoted = _QUOTED.match(page, m.end()) if failed < OPEN_QUOTES else None
+        failed += quoted is None
+        stop = quoted.end() if quoted else page.index(">", m.end())
+        attrs, pos, tag = page[m.end() : stop], stop + 1, m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    depth_main -= sum(x.main for x in stack[i:])
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            place = held.last((tag,))
+            if place and (tag not in INLINE or place > held.blocks[-1]):
+                held.close(place)
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    depth_main -= sum(x.main for x in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+            place = held.last(("p",))
+            if place and place == held.blocks[-1]:
+                held.close(place)
         if tag in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SAME[tag]:
-                    depth_main -= sum(x.main for x in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
-        node = Node(tag, *_role(tag, m[3], depth_main > 0))
-        stack[-1].kids.append(node)
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else end
+            place = held.last(SAME[tag])
+            if place and place >= held.last(SCOPE):
+                held.close(place)
+        node = Node(tag, *_role(tag, attrs, held.mains > 0))
+        held.stack[-1].kids.append(node)
+        if attrs.rstrip().endswith("/") or tag in VOID:
+            continue
+        if tag in RAW:
+            if tag not in closers or 0 <= closers[tag][0] < pos:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+                closers[tag] = (close.start(), close.end()) if close else (-1, end)
+            pos = closers[tag][1]
             continue
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
-            depth_main += node.main
+        held.push(node)
     return root
 
 
@@ -147,161 +202,231 @@ def _clean(text: str) -> str:
     return _BLANK.sub(" ", entities.unescape(text)).strip()
 
 
-def blocks(root: Node) -> list[tuple[tuple, str]]:
-    """(path of the block, text) of the page's slots, in page order.
+def _regions(root: Node, names: bool) -> list[Node]:
+    """The outermost main regions outside chrome, in page order; ``names``: chrome by class or id does not count."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.main:
+            found.append(node)
+            continue
+        todo.extend(k for k in reversed(node.kids) if type(k) is Node and (not k.chrome or names and k.chrome == 2))
+    return found
+
+
+def _step(parent: int, tag: str, nth: int) -> int:
+    """The key of the nth child with a tag."""
+    x = ((parent ^ zlib.crc32(tag.encode(errors="replace"))) * 0x9E3779B97F4A7C15 + nth) & _MASK
+    x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK
+    return x ^ (x >> 32)
+
+
+def blocks(root: Node) -> tuple[list[str], list]:
+    """The texts of the page's slots in page order, and their tree.
 
     A block is the text between two block-level tags; inline tags leave no
-    mark and a line break is white space.
+    mark and a line break is white space. A node of the tree is [tag, children,
+    numbers of its blocks, key, depth], and has a block below it.
     """
-    region, best = None, 0
-    todo = [(root, False)]
-    while todo:
-        node, inside = todo.pop()
-        for k in node.kids:
-            if type(k) is Node and not k.chrome:
-                if k.main and not inside:
-                    size = _size(k)
-                    if size > best:
-                        region, best = k, size
-                todo.append((k, inside or k.main))
-    out: list = []
+    out: list[str] = []
+    tree: list = ["#", [], [], 1, 0]
     run: list = []
 
-    def flush(path):
+    def flush(line):
         if run:
             text = _clean("".join(run))
             run.clear()
             if text:
-                out.append((path, text))
-
-    # an explicit stack, as unclosed tags can nest deeper than Python's own
-    frames = [(region or root, iter((region or root).kids), (), {})]
-    while frames:
-        node, kids, path, seen = frames[-1]
-        for k in kids:
-            if type(k) is str:
-                run.append(k)
-            elif k.chrome:
-                if k.tag not in INLINE:
-                    flush(path)
-            elif k.tag == "br":
-                run.append(" ")
-            elif k.tag in INLINE:
-                frames.append((k, iter(k.kids), path, seen))
-                break
-            else:
-                flush(path)
-                seen[k.tag] = seen.get(k.tag, 0) + 1
-                frames.append((k, iter(k.kids), (*path, (k.tag, seen[k.tag])), {}))
-                break
+                line[-1][2].append(len(out))
+                out.append(text)
+
+    for regions in (_regions(root, False) or _regions(root, True), [root]):
+        for region in regions:
+            # an explicit stack, as unclosed tags can nest deeper than Python's own
+            frames = [(region, iter(region.kids), tree, {})]
+            while frames:
+                node, kids, at, seen = frames[-1]
+                for k in kids:
+                    if type(k) is str:
+                        run.append(k)
+                    elif k.chrome:
+                        if k.tag not in INLINE:
+                            flush((at,))
+                    elif k.tag == "br":
+                        run.append(" ")
+                    elif k.tag in INLINE:
+                        frames.append((k, iter(k.kids), at, seen))
+                        break
+                    else:
+                        flush((at,))
+                        below = at
+                        if at[4] < DEPTH:
+                            nth = seen[k.tag] = seen.get(k.tag, 0) + 1
+                            below = [k.tag, [], [], _step(at[3], k.tag, nth), at[4] + 1]
+                            at[1].append(below)
+                        frames.append((k, iter(k.kids), below, {}))
+                        break
+                else:
+                    frames.pop()
+                    if node.tag not in INLINE:
+                        flush((at,))
+            flush((tree,))
+        if out:
+            break
+    return out, _skeleton(tree)
+
+
+def _skeleton(tree: list) -> tuple:
+    """(tag, children, numbers of blocks, key, shape) of the tree without nodes that have no block; its depth is bounded."""
+    kids = [x for x in map(_skeleton, tree[1]) if x[1] or x[2]]
+    shape = zlib.crc32(tree[0].encode(errors="replace"))
+    for k in kids:
+        shape = _step(shape, "", k[4])
+    return (tree[0], kids, tree[2], tree[3], _step(shape, "#", len(tree[2])))
+
+
+def _aligned(x: list, y: list, memo: dict) -> list[tuple[int, int]]:
+    """Pairs of places of two lists of siblings, in order, with the greatest sum of matches."""
+    lo, n, m = 0, len(x), len(y)
+    while lo < min(n, m) and x[lo][4] == y[lo][4]:
+        lo += 1
+    while min(n, m) > lo and x[n - 1][4] == y[m - 1][4]:
+        n, m = n - 1, m - 1
+    pairs = [(i, i) for i in range(lo)] + [(n + i, m + i) for i in range(len(x) - n)]
+    if (n - lo) * (m - lo) > CELLS:
+        held: dict = {}
+        for i in range(lo, n):
+            held.setdefault(x[i][4], []).append(i)
+        turn = {k: iter(v) for k, v in held.items()}
+        return pairs + [(i, j) for j in range(lo, m) if (i := next(turn.get(y[j][4], iter(())), None)) is not None]
+    w = [[_weight(p, q, memo) for q in y[lo:m]] for p in x[lo:n]]
+    best = [[0] * (m - lo + 1) for _ in range(n - lo + 1)]
+    for i, wi in enumerate(w, 1):
+        row, up = best[i], best[i - 1]
+        for j, v in enumerate(wi, 1):
+            row[j] = max(up[j], row[j - 1], up[j - 1] + v)
+    i, j = n - lo, m - lo
+    while i and j:
+        if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
+            pairs.append((lo + i - 1, lo + j - 1))
+            i, j = i - 1, j - 1
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
         else:
-            frames.pop()
-            if node.tag not in INLINE:
-                flush(path)
-    flush(())
-    return out
-
-
-def _size(node: Node) -> int:
-    todo, n = [node], 0
-    while todo:
-        for k in todo.pop().kids:
-            if type(k) is str:
-                n += len(k)
-            elif not k.chrome:
-                todo.append(k)
-    return n
-
-
-def _tree(found: list[tuple[tuple, str]]) -> tuple:
-    """The blocks' paths as a tree of (tag, children, blocks), of a bounded depth."""
-    root: tuple = ("#", {}, [])
-    for i, (path, _) in enumerate(found):
-        at = root
-        for step in path[:40]:
-            at = at[1].setdefault(step, (step[0], {}, []))
-        at[2].append(i)
-    return root
+            j -= 1
+    return pairs
+
+
+def _weight(a: tuple, b: tuple, memo: dict) -> int:
+    """Simple tree matching: the number of nodes that two trees have in common; equal shapes are worked out once."""
+    if a[0] != b[0]:
+        return 0
+    key = (a[4], b[4])
+    if key not in memo:
+        memo[key] = 1 + sum(_weight(a[1][i], b[1][j], memo) for i, j in _aligned(a[1], b[1], memo))
+    return memo[key]
+
+
+def match(a: tuple, b: tuple, memo: dict, keys: dict) -> dict:
+    """block of b -> key of its node: that of the aligned node of a, or its own."""
+    for n, block in enumerate(b[2]):
+        keys[block] = _step(a[3], "", n) if n < len(a[2]) else _step(b[3], "?", n)
+    pairs = dict((j, i) for i, j in _aligned(a[1], b[1], memo))
+    for j, q in enumerate(b[1]):
+        if j in pairs and a[1][pairs[j]][0] == q[0]:
+            match(a[1][pairs[j]], q, memo, keys)
+        else:
+            _own(q, keys)
+    return keys
 
 
-def match(a: tuple, b: tuple, pairs: dict | None) -> int:
-    """Simple tree matching of two trees; ``pairs`` gets block of b -> block of a."""
-    x, y = list(a[1].values()), list(b[1].values())
-    if pairs is not None:
-        pairs.update(zip(b[2], a[2], strict=False))
-    if not x or not y:
-        return 1
-    if len(x) == len(y) and all(p[0] == q[0] and not p[1] and not q[1] for p, q in zip(x, y, strict=True)):
-        w = None  # leaves with the same tags one by one: the alignment is plain
-        if pairs is not None:
-            for p, q in zip(x, y, strict=True):
-                pairs.update(zip(q[2], p[2], strict=False))
-        return 1 + len(x)
-    w = [[match(p, q, None) if p[0] == q[0] else 0 for q in y] for p in x]
-    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        row, up, wi = m[i], m[i - 1], w[i - 1]
-        for j in range(1, len(y) + 1):
-            row[j] = max(up[j], row[j - 1], up[j - 1] + wi[j - 1])
-    if pairs is not None:
-        i, j = len(x), len(y)
-        while i and j:
-            if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                match(x[i - 1], y[j - 1], pairs)
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return 1 + m[-1][-1]
+def _own(b: tuple, keys: dict) -> None:
+    for n, block in enumerate(b[2]):
+        keys[block] = _step(b[3], "?", n)
+    for q in b[1]:
+        _own(q, keys)
 
 
 def _key(*parts) -> int:
     return int.from_bytes(blake2b(repr(parts).encode(errors="replace"), digest_size=8).digest(), "little", signed=True)
 
 
-#: Hosts whose first page a task remembers; a host met again after that starts a new alignment.
+#: Reference trees that a task keeps unpacked.
 HOSTS_IN_MIND = 2000
+#: Bytes of packed trees and templates that are broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def _packed(batches):
+    for b in batches:
+        out = [marshal.dumps(blocks(parse(src.as_py() or ""))[1]) for src in b.column("html")]
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.binary())], names=["host", "ref"])
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """host, ref: the packed block tree of the host's page with the smallest hash, whatever the partitions."""
+    mark = F.struct(F.xxhash64("html").alias("k"), F.xxhash64(F.lit(1), "html").alias("k2"))
+    least = pages.where("html is not null").groupBy("host").agg(F.min(mark).alias("least"))
+    least = written(least, "least").select(F.col("host").alias("of"), "least")
+    rows = pages.where("html is not null").join(small_side(least), (F.col("host") == F.col("of")) & (mark == F.col("least"))).select("host", "html")
+    packed = written(rows.mapInArrow(_packed, "host string, ref binary"), "references")
+    return packed.groupBy("host").agg(F.min("ref").alias("ref"))
+
+
+def _small(df: DataFrame, size) -> DataFrame:
+    """Broadcast hint behind a check of the bytes; larger sides are left to a shuffle join, whose hot hosts are split."""
+    bytes_ = df.agg(F.coalesce(F.sum(size), F.lit(0)) + 64 * F.count("*")).first()[0]
+    return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
+
+
+def _named(src, ref, host, trees: dict) -> list[tuple[str, int]]:
+    """(text, key of the aligned node) of the blocks of a page."""
+    texts, tree = blocks(parse(src or ""))
+    if not texts:
+        return []
+    if host not in trees:
+        if len(trees) >= HOSTS_IN_MIND:
+            trees.clear()
+        trees[host] = marshal.loads(ref) if ref else tree
+    keys = match(trees[host], tree, {}, {})
+    return [(t, keys[i]) for i, t in enumerate(texts)]
 
 
 def _nodes(batches):
-    """A row for each aligned block of each page: host, node, text, page (all hashed)."""
-    firsts: dict = {}
+    """A row for each aligned block of each page: host, mark (of the node and its text), page (all hashed)."""
+    trees: dict = {}
     for b in batches:
-        host, node, text, page = [], [], [], []
-        for h, src in zip(b.column("host"), b.column("html"), strict=True):
-            found = blocks(parse(src.as_py() or ""))
-            if not found:
-                continue
-            tree = _tree(found)
-            if len(firsts) >= HOSTS_IN_MIND:
-                firsts.clear()
-            ref, ref_found = firsts.setdefault(h.as_py(), (tree, [p for p, _ in found]))
-            pairs: dict = {}
-            match(ref, tree, pairs)
-            whole = _key([t for _, t in found])
-            for i, (path, t) in enumerate(found):
-                host.append(h.as_py()), node.append(_key(ref_found[pairs[i]] if i in pairs else path)), text.append(_key(t)), page.append(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int64()), pa.array(text, pa.int64()), pa.array(page, pa.int64())], names=["host", "node", "text", "page"])
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, template: hashes of the texts that are constant on the host. From columns host and html."""
-    nodes = pages.select("host", "html").mapInArrow(_nodes, "host string, node long, text long, page long").distinct()
-    nodes = written(nodes, "nodes")
+        host, mark, page = [], [], []
+        for h, src, ref in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("ref").to_pylist(), strict=True):
+            found = _named(src, ref, h, trees)
+            whole = _key([t for t, _ in found])
+            for t, key in found:
+                host.append(h), mark.append(_key(key, t)), page.append(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(mark, pa.int64()), pa.array(page, pa.int64())], names=["host", "mark", "page"])
+
+
+def wrappers(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """host, template: hashes of the nodes, with their text, that are constant on the host. From columns host and html."""
+    rows = pages.join(_small(refs, F.length("ref")), "host", "left").select("host", "html", "ref")
+    nodes = written(rows.mapInArrow(_nodes, "host string, mark long, page long").distinct(), "nodes")
     many = nodes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
-    held = nodes.groupBy("host", "node", "text").agg(F.count("*").alias("held")).where(F.col("held") >= TEMPLATE_PAGES * TEMPLATE_SHARE)
+    held = nodes.groupBy("host", "mark").agg(F.count("*").alias("held")).where(F.col("held") >= TEMPLATE_PAGES * TEMPLATE_SHARE)
     constant = held.join(many, "host").where(F.col("held") >= F.col("pages") * TEMPLATE_SHARE)
-    return constant.groupBy("host").agg(F.collect_set("text").alias("template"))
+    return constant.groupBy("host").agg(F.collect_set("mark").alias("template"))
 
 
 def _texts(batches):
+    trees: dict = {}
     for b in batches:
         out = []
-        for src, tpl in zip(b.column("html"), b.column("template"), strict=True):
-            drop = set(tpl.as_py() or ())
-            out.append(" ".join(t for _, t in blocks(parse(src.as_py() or "")) if not drop or _key(t) not in drop))
-        keep = [n for n in b.schema.names if n not in ("html", "template", "host")]
+        for src, tpl, ref, h in zip(*[b.column(c).to_pylist() for c in ("html", "template", "ref", "host")], strict=True):
+            if tpl:
+                drop = set(tpl)
+                kept = [t for t, key in _named(src, ref, h, trees) if _key(key, t) not in drop]
+            else:
+                kept = blocks(parse(src or ""))[0]
+            out.append(" ".join(kept))
+        keep = [n for n in b.schema.names if n not in ("html", "template", "ref", "host")]
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(out, pa.string())], names=[*keep, "text"])
 
 
@@ -309,8 +434,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url and main text of each page."""
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    tpl = small_side(written(wrappers(src), "wrappers"))
-    rows = src.join(tpl, "host", "left").select("page_id", "url", "html", "host", "template")
+    refs = written(references(src), "trees")
+    tpl = written(wrappers(src, refs).join(refs, "host"), "wrappers")
+    tpl = _small(tpl, F.length("ref") + 8 * F.size("template"))
+    rows = src.join(tpl, "host", "left").select("page_id", "url", "html", "host", "template", "ref")
     return rows.mapInArrow(_texts, f"page_id {dict(src.dtypes)['page_id']}, url string, text string")
 
 
