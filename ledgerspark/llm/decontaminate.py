@@ -1,12 +1,14 @@
 """Operator 2, benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units that follow a number, and runs of capitalised words inside a
-sentence become the placeholders <num>, <unit> and <name>; the other words are
-lower-cased and punctuation goes. Windows of 8 template tokens (4 for items of
+Numbers, units that follow a number, and runs of capitalised words become the
+placeholders <num>, <unit> and <name>; the other words are lower-cased and
+punctuation goes. A word that starts a sentence is a placeholder too, as it may
+be a name; words in capitals throughout are not. Windows of 8 template tokens (4 for items of
 4 to 7) with at least 3 words that are not placeholders are hashed and joined
 with those of the benchmark. A document leaks an item if on one alignment
 
-* windows cover half of the item's windows, or 20 of its tokens, and
+* half of the item's windows that have 3 such words match, and reach over half
+  of its tokens, or windows cover 20 of its tokens, and
 * the slots agree: a value of the item always meets the same value of the
   document and the other way round. Equal values are a copy, other values are
   a re-parameterised question.
@@ -23,10 +25,10 @@ columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, small_side, written
+from .common import apart, read_table, small_side, written
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -36,12 +38,13 @@ LITERALS = 3
 UNITS = "kg|km|cm|mm|mg|ml|m|g|l|s|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch(?:es)?|meters?|metres?|grams?|lit(?:er|re)s?|dollars?|euros?|cents?|percent|%|°C|°F|kW|kWh|W|V|A|Hz|GB|MB|KB"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 MEASURE = rf"({NUMBER})[ ]?({UNITS})([^\p{{L}}\p{{N}}]|$)"
-NAME = r"([\p{Ll},;] )(\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*)"
+_CAPITAL = r"\p{Lu}(?:[\p{L}'-]*\p{Ll}[\p{L}'-]*)?(?![\p{L}\p{N}])"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?<![0-9] )({_CAPITAL}(?: {_CAPITAL})*)"
 
 
 def template(text: Column) -> Column:
     """Template tokens of a text."""
-    t = F.regexp_replace(text, NAME, "$1<name>")
+    t = F.regexp_replace(text, NAME, "<name>")
     t = F.regexp_replace(t, MEASURE, "<num> <unit>$3")
     t = F.lower(F.regexp_replace(t, NUMBER, "<num>"))
     return F.array_remove(F.split(t, r"[^\p{L}\p{N}<>]+"), "")
@@ -94,8 +97,8 @@ def _slots(side: str) -> Column:
 
 
 def _values(text: Column) -> dict[str, Column]:
-    bare = F.regexp_replace(text, NAME, "$1")
-    return {"nums": F.regexp_extract_all(bare, F.lit(f"({NUMBER})"), F.lit(1)), "units": F.regexp_extract_all(bare, F.lit(MEASURE), F.lit(2)), "names": F.regexp_extract_all(text, F.lit(NAME), F.lit(2))}
+    bare = F.regexp_replace(text, NAME, "")
+    return {"nums": F.regexp_extract_all(bare, F.lit(f"({NUMBER})"), F.lit(1)), "units": F.regexp_extract_all(bare, F.lit(MEASURE), F.lit(2)), "names": F.regexp_extract_all(text, F.lit(NAME), F.lit(1))}
 
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -109,26 +112,28 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
         own = items.where(those)
         if not own.limit(1).count():
             continue
-        full = (F.size("toks") - length + 1).alias("windows")
-        marks = windows(own, length).select("item", "ih", full, "toks", F.posexplode("w").alias("ip", "w")).where("ip < windows")
+        full = F.size("toks") - length + 1
+        marks = windows(own, length).select("item", "ih", F.size("toks").alias("size"), full.alias("full"), "toks", F.posexplode("w").alias("ip", "w")).where("ip < full")
         words = F.size(F.filter(F.slice("toks", F.col("ip") + 1, F.lit(length)), lambda x: ~x.isin("<num>", "<unit>", "<name>")))
-        marks = small_side(written(marks.where(words >= LITERALS).select("item", "ih", "windows", "ip", "w"), "marks"))
+        marks = written(marks.where(words >= LITERALS).select("item", "ih", "size", "ip", "w"), "marks")
+        marks = small_side(marks.withColumn("windows", F.count("*").over(Window.partitionBy("item", "ih"))))
         # the outer form, as for the inner one the optimiser would work out the windows once more to test for emptiness
         seen = windows(src.select("d", "h", template(F.col("text")).alias("toks")), length).select("d", "h", F.posexplode_outer("w").alias("p", "w"))
-        found = seen.join(marks, "w").groupBy("d", "h", "item", "ih", "windows", (F.col("p") - F.col("ip")).alias("shift"))
+        found = seen.join(marks, "w").groupBy("d", "h", "item", "ih", "windows", "size", (F.col("p") - F.col("ip")).alias("shift"))
         found = found.agg(F.countDistinct("ip").alias("n"), F.min("ip").alias("lo"), F.max("ip").alias("hi")).withColumn("length", F.lit(length))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return src.select("d", "h", F.lit(None).cast(dict(bench.dtypes)[item_col]).alias("item")).where(F.lit(False))
-    hits = written(hits.where((F.col("n") >= COVERAGE * F.col("windows")) | (F.col("n") + F.col("length") - 1 >= TOKENS)), "hits")
+    reach = F.col("hi") - F.col("lo") + F.col("length")
+    half = (F.col("n") >= COVERAGE * F.col("windows")) & (reach >= COVERAGE * F.col("size"))
+    hits = written(hits.where(half | (F.col("n") + F.col("length") - 1 >= TOKENS)), "hits")
     few = small_side(hits.select(F.col("d").alias("hd"), F.col("h").alias("hh")).distinct())
     texts = src.join(few, src["d"].eqNullSafe(few["hd"]) & (src["h"] == few["hh"]), "left_semi").distinct()
     texts = texts.select(F.col("d").alias("td"), F.col("h").alias("th"), template(F.col("text")).alias("dtoks"), *[c.alias(f"d_{n}") for n, c in _values(F.col("text")).items()])
     given = items.select(F.col("item").alias("gi"), F.col("ih").alias("gh"), F.col("toks").alias("itoks"), *[c.alias(f"i_{n}") for n, c in _values(F.col("itext")).items()])
     rows = hits.join(texts, hits["d"].eqNullSafe(texts["td"]) & (hits["h"] == texts["th"])).join(given, hits["item"].eqNullSafe(F.col("gi")) & (F.col("ih") == F.col("gh")))
-    n = F.col("hi") - F.col("lo") + F.col("length")
     # written, as the regions' columns are read many times below and must not be worked out each time
-    rows = written(rows.withColumns(_region("itoks", F.col("lo"), n, "i") | _region("dtoks", F.col("lo") + F.col("shift"), n, "d")).drop("itoks", "dtoks"), "regions")
+    rows = written(rows.withColumns(_region("itoks", F.col("lo"), reach, "i") | _region("dtoks", F.col("lo") + F.col("shift"), reach, "d")).drop("itoks", "dtoks"), "regions")
     rows = rows.withColumn("a", _slots("i")).withColumn("b", _slots("d"))
     met = F.array_distinct(F.filter(F.arrays_zip("a", "b"), lambda x: x["a"].isNotNull() & x["b"].isNotNull()))
     rows = rows.withColumn("met", met)
@@ -137,10 +142,14 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` and _lm_items, the sorted ids of the items that the row leaks (null: none)."""
-    found = written(leaks(docs, bench, id_col, text_col), "leaks").groupBy("d", "h").agg(F.array_sort(F.collect_set("item")).alias("_lm_items"))
-    found = small_side(found)
-    return docs.join(found, docs[id_col].eqNullSafe(found["d"]) & (F.xxhash64(docs[text_col]) == found["h"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], "_lm_items")
+    """The columns of ``docs`` and _lm_items, the sorted ids of the items that the row leaks (null: none).
+
+    A column of the input that is called _lm_items is replaced.
+    """
+    src, inner = apart(docs)
+    found = written(leaks(src, bench, inner[id_col], inner[text_col]), "leaks").groupBy("d", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = src.join(small_side(found), F.col(inner[id_col]).eqNullSafe(F.col("d")) & (F.xxhash64(inner[text_col]) == F.col("h")), "left")
+    return out.select(*[F.col(inner[c]).alias(c) for c in docs.columns if c != "_lm_items"], F.col("items").alias("_lm_items"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
