@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_bytes, chunks, read_table, run_hash, small_side, written
+from .common import Words, apart, arrow_bytes, chunks, read_table, run_hash, small_side, written
 
 SEED = 42
 #: Buckets of hashed shingles in the table of rarity classes.
@@ -315,8 +315,8 @@ def near_links(docs: DataFrame, k: int, threshold: float) -> DataFrame:
         live = posts if roots is None else posts.join(roots, "node", "left")
         live = live.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
         if roots is not None:
-            apart = live.groupBy("w", "root").agg(F.count("*").cast("double").alias("c")).groupBy("w").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s")
-            live = written(live.join(apart.select("w", ((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs"), F.col("c").alias("held")), "w"), "live")
+            unjoined = live.groupBy("w", "root").agg(F.count("*").cast("double").alias("c")).groupBy("w").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s")
+            live = written(live.join(unjoined.select("w", ((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs"), F.col("c").alias("held")), "w"), "live")
             size = live.agg(F.sum(F.col("pairs") / F.col("held")).alias("pairs"), F.count("*").alias("rows")).first()
             if not size["rows"]:
                 return roots
@@ -340,17 +340,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left out, and groups are what the links join. Rows that repeat id and text
     count once; texts without words are one group.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    names = docs.columns
+    docs, inner = apart(docs)
+    text = F.coalesce(F.col(inner[text_col]), F.lit(""))
     node = F.xxhash64(text)
-    ids = docs.select(F.col(id_col).alias("d"), node.alias("node"))
+    ids = docs.select(F.col(inner[id_col]).alias("d"), node.alias("node"))
     nodes = written(ids.groupBy("node").agg(F.min("d").alias("d")), "nodes")
     roots = near_links(docs.select(node.alias("node"), text.alias("_lm_text")), k, threshold)
     named = nodes.join(roots, "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
     stay = written(named.groupBy("root").agg(F.min(F.struct(F.col("d"), F.col("node"))).alias("x")).select("x.d", "x.node"), "stay")
-    stay = stay.select(F.col("d").alias("_lm_d"), F.col("node").alias("_lm_node"))
-    out = docs.join(small_side(stay), docs[id_col].eqNullSafe(stay["_lm_d"]) & (node == stay["_lm_node"]), "left_semi")
+    out = docs.join(small_side(stay), F.col(inner[id_col]).eqNullSafe(F.col("d")) & (node == F.col("node")), "left_semi")
     repeats = ids.groupBy("d", "node").count().where("count > 1").limit(1).count()
-    return out.withColumn("_lm_node", node).dropDuplicates([id_col, "_lm_node"]).drop("_lm_node") if repeats else out
+    if repeats:
+        out = out.withColumn("node", node).dropDuplicates([inner[id_col], "node"])
+    return out.select(*[F.col(inner[c]).alias(c) for c in names])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
