@@ -36,10 +36,12 @@ TOKENS = 20
 LITERALS = 3
 # Unit names.
 UNITS = "kg|km|cm|mm|mg|ml|m|g|l|s|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch(?:es)?|meters?|metres?|grams?|lit(?:er|re)s?|dollars?|euros?|cents?|percent|%|°C|°F|kW|kWh|W|V|A|Hz|GB|MB|KB"
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-MEASURE = rf"({NUMBER})[ ]?({UNITS})([^\p{{L}}\p{{N}}]|$)"
-_CAPITAL = r"\p{Lu}(?:[\p{L}'-]*\p{Ll}[\p{L}'-]*)?(?![\p{L}\p{N}])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?<![0-9] )({_CAPITAL}(?: {_CAPITAL})*)"
+# possessive, so that Java neither goes back in a run nor nests a call for each of its parts
+NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
+# a number is tried from its start only, not from each of its digits
+MEASURE = rf"((?<![0-9])(?<![0-9][.,:/]){NUMBER})[ ]?({UNITS})([^\p{{L}}\p{{N}}]|$)"
+_REST = r"(?:[\p{L}'\-&&[^\p{Ll}]]*+\p{Ll}[\p{L}'\-]*+)?+(?![\p{L}\p{N}])"
+NAME = rf"(\p{{Lu}}(?<![\p{{L}}\p{{N}}]\p{{Lu}})(?<![0-9] \p{{Lu}}){_REST}(?: \p{{Lu}}{_REST})*+)"
 
 
 def template(text: Column) -> Column:

@@ -78,3 +78,11 @@ def test_names_at_the_start_of_a_sentence(spark):
     assert got == {1: [1], 2: [1], 3: [1], 4: [1], 5: None, 6: None, 7: None}
     lamps = docs.limit(1).select("doc_id", F.lit("A 6 W lamp and a 9 W lamp run for 4 hours each night").alias("text"))
     assert decontaminate.decontaminate(lamps, bench).first()["_lm_items"] == [2]
+
+
+def test_long_runs_of_names(spark):
+    """Runs of very many capitalised words, letters or numbers need no stack, and the item after them is found."""
+    runs = ["Abc " * 200_000, "A" * 800_000 + " ", "A " * 300_000, "1.2" * 200_000 + " ", "Aa-'" * 200_000 + " "]
+    docs = spark.createDataFrame([(i, r + "\n" + ITEM) for i, r in enumerate(runs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert {r["doc_id"]: r["_lm_items"] for r in decontaminate.decontaminate(docs, bench).collect()} == {i: [1] for i in range(5)}
