@@ -225,21 +225,21 @@ def _all_pairs(posts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _close(posts: DataFrame, closed: DataFrame) -> DataFrame:
-    """The postings with ``open``; groups that a closed line alone is left of, and groups without an open line, go."""
+    """The postings with ``open``: whether their line is not among the closed ones."""
     shut = small_side(closed.select(*[F.col(c).alias(f"c{c}") for c in AT]).withColumn("shut", F.lit(True)))
     hit = F.col("d").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")) & (F.col("i") == F.col("ci"))
-    return posts.drop("open").join(shut, hit, "left").withColumn("open", F.col("shut").isNull()).drop("cd", "ch", "ci", "shut")
+    return posts.join(shut, hit, "left").withColumn("open", F.col("shut").isNull()).drop("cd", "ch", "ci", "shut")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """d, h, i of the lines to remove, from columns _lm_id, _lm_h and _lm_text."""
     equal = written(_equal_lines(docs), "equal_lines")
-    posts = written(_shared(_postings(docs, equal, threshold)).withColumn("open", F.lit(True)), "postings")
-    closed, before = None, None
+    every = written(_shared(_postings(docs, equal, threshold)), "postings")
+    posts, closed, before = every.withColumn("open", F.lit(True)), None, None
     for turn in range(ROUNDS):
         new = written(_verified(_hub_pairs(posts, turn, threshold), docs, threshold), "closed")
         closed = new if closed is None else closed.unionByName(new)
-        posts = _close(posts, new if turn == 0 else closed)
+        posts = _close(every, closed)
         # what the join of all pairs would look at, over the postings
         groups = posts.groupBy("w", "level").agg(F.count("*").cast("double").alias("c"), F.count_if("open").cast("double").alias("o"))
         size = groups.agg(F.sum(F.col("c") * F.col("o")).alias("pairs"), F.sum("c").alias("rows")).first()
