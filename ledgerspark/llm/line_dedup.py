@@ -192,7 +192,8 @@ def _hub_pairs(posts: DataFrame, turn: int, threshold: float) -> DataFrame:
     """Pairs of a line that is open and the hub of one of its groups, the later line first.
 
     The hub is the first line of the group in the first round, and one by a
-    hash in the others.
+    hash in the others. A line that has several hubs is held against the one
+    with which it shares most words; the others are left to later steps.
     """
     rank = F.struct(*AT) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), *AT).alias("r"), *AT)
     # near copies choose the same words, of which long lines have many
@@ -203,7 +204,9 @@ def _hub_pairs(posts: DataFrame, turn: int, threshold: float) -> DataFrame:
     rows = rows.where(_near(threshold) & (_at("y") != _at("x")))
     back = _at("x") > _at("y")
     ends = [F.when(back, F.col(f"{s}.{c}")).otherwise(F.col(f"{o}.{c}")).alias(n + c) for s, o, n in (("x", "y", ""), ("y", "x", "x")) for c in AT]
-    return rows.where(F.when(back, F.col("x.open")).otherwise(F.col("y.open"))).select(*ends).distinct()
+    return rows.where(F.when(back, F.col("x.open")).otherwise(F.col("y.open"))).select(*ends)
+    votes = rows.groupBy(*rows.columns).agg(F.count("*").alias("v"))
+    return votes.groupBy(*AT).agg(F.max(F.struct("v", "xd", "xh", "xi")).alias("m")).select(*AT, "m.xd", "m.xh", "m.xi")
 
 
 def _all_pairs(posts: DataFrame, threshold: float) -> DataFrame:
