@@ -68,6 +68,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(kind).parquet(path)
 
 
+def _forget(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # the session may be gone by then, and with it a catalogue in memory
+        pass
+    _remove(spark, path)
+
+
+def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """``written`` in ``n`` buckets of a key: joins and aggregations on the key (and more) need no shuffle.
+
+    ``df`` should be partitioned by the key into ``n``, so that each task writes one file.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(name)
+    del df
+    _sweep(spark)
+    atexit.register(_forget, spark, name, path)
+    return spark.table(name)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``written`` that nothing reads any more."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

@@ -37,7 +37,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, read_table, small_rows, small_side, written
+from .common import apart, bucketed, read_table, small_rows, small_side, written
 
 THRESHOLD = 0.8
 #: Buckets of hashed words in the table of rarity classes.
@@ -46,6 +46,8 @@ BUCKETS = 1 << 15
 LONG = 64
 #: Pairs for each posting that are all looked at without another round of hubs.
 FEW = 16
+#: Bytes of text for each bucket of the postings, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 #: Rounds of hubs after which all pairs that are left are looked at.
 ROUNDS = 4
 GAP = r"[\x20\x09-\x0D]+"
@@ -117,13 +119,13 @@ def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
     return rows.select(F.shiftrightunsigned("c", 12).bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), *AT, "n", "p", "a", "b").withColumn("level", level)
 
 
-def shuffled_once(df: DataFrame, key: str) -> DataFrame:
-    """``df`` partitioned by a key, such that several uses in one plan share the shuffle.
+def shuffled_once(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` in ``n`` partitions by a key, such that several uses in one plan share the shuffle.
 
     The filter is not deterministic, as filters and projections of one use
     would else go below the shuffle and make it another one.
     """
-    df = df.repartition(key)
+    df = df.repartition(n, key)
     return df.where(F.when(F.monotonically_increasing_id() >= 0, F.lit(True)).otherwise(F.hash(*df.columns) > 0))
 
 
@@ -139,9 +141,15 @@ def kept_partitioning(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _shared(posts: DataFrame) -> DataFrame:
-    """The postings of words that stand in another prefix too, of a line of about the same length."""
-    posts = shuffled_once(posts, "w")
+def _buckets(docs: DataFrame) -> int:
+    """Buckets of the postings: the shuffle partitions of the session, and more for many bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("_lm_text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, size // BUCKET_BYTES))
+
+
+def _shared(posts: DataFrame, n: int) -> DataFrame:
+    """The postings of words that stand in another prefix too, of a line of about the same length; ``n`` partitions by w."""
+    posts = shuffled_once(posts, "w", n)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
     masks = posts.groupBy("w", "level").agg(F.count("*").alias("c")).groupBy("w").agg(F.bit_or(one).alias("any"), F.bit_or(F.when(F.col("c") > 1, one).otherwise(0)).alias("many"), F.sum("c").alias("c")).where("c > 1")
     bits = F.col("many").bitwiseOR(F.shiftleft("any", 1)).bitwiseOR(F.shiftrightunsigned("any", 1))
@@ -217,7 +225,6 @@ def _all_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     the shorter ones of their own level of length and of the level below.
     """
     inner = F.col("p") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
-    posts = shuffled_once(posts, "w")
     y = posts.alias("y")
     x = posts.where(inner).withColumn("level", F.explode(F.array_distinct(F.array(F.col("level"), F.least(F.lit(61), F.col("level") + 1))))).alias("x")
     first = _at("x") < _at("y")
@@ -237,19 +244,20 @@ def _close(posts: DataFrame, closed: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """d, h, i of the lines to remove, from columns _lm_id, _lm_h and _lm_text."""
     equal = written(_equal_lines(docs), "equal_lines")
-    every = written(_shared(_postings(docs, equal, threshold)), "postings")
+    n = _buckets(docs)
+    every = bucketed(_shared(_postings(docs, equal, threshold), n), "w", n, "postings")
     posts, closed, before = every.withColumn("open", F.lit(True)), None, None
-    for turn in range(ROUNDS):
-        new = written(_verified(_hub_pairs(posts, turn, threshold), docs, threshold), "closed")
-        closed = new if closed is None else closed.unionByName(new)
-        posts = _close(every, closed)
-        # what the join of all pairs would look at, over the postings
-        groups = posts.groupBy("w", "level").agg(F.count("*").cast("double").alias("c"), F.count_if("open").cast("double").alias("o"))
-        size = groups.agg(F.sum(F.col("c") * F.col("o")).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not size["rows"] or size["pairs"] <= FEW * size["rows"] or (before is not None and size["pairs"] > before / 2):
-            break
-        before = size["pairs"]
     with kept_partitioning(docs.sparkSession):
+        for turn in range(ROUNDS):
+            new = written(_verified(_hub_pairs(posts, turn, threshold), docs, threshold), "closed")
+            closed = new if closed is None else closed.unionByName(new)
+            posts = _close(every, closed)
+            # what the join of all pairs would look at, over the postings
+            groups = posts.groupBy("w", "level").agg(F.count("*").cast("double").alias("c"), F.count_if("open").cast("double").alias("o"))
+            size = groups.agg(F.sum(F.col("c") * F.col("o")).alias("pairs"), F.sum("c").alias("rows")).first()
+            if not size["rows"] or size["pairs"] <= FEW * size["rows"] or (before is not None and size["pairs"] > before / 2):
+                break
+            before = size["pairs"]
         pairs = written(_all_pairs(posts, threshold), "all_pairs")
     rest = _verified(pairs, docs, threshold)
     return equal.unionByName(closed).unionByName(rest).distinct()
