@@ -16,6 +16,11 @@ SHRINK, FLOOR, SIGMA = 8.0, 0.0015, 5.0
 UNSEEN = 0.9
 
 
+def once(x: Column) -> Column:
+    """``x``, not taken to be deterministic, so that the optimiser neither repeats it where it is used nor moves filters below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def flows_by_day(lines: DataFrame) -> DataFrame:
     """day, inflow, outflow (both as magnitudes)."""
     a = F.col("amount")
@@ -89,17 +94,19 @@ def delay_pmf(counts: DataFrame, parties: DataFrame | None = None) -> DataFrame:
     """
     bins = F.array(*[F.lit(b) for b in range(LOW, HIGH + 1)])
     as_array = lambda df, keys: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "q"))).alias("m")).select(*keys, F.transform(bins, lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0))).alias("q"))
-    own = as_array(delay_density(counts, ["kind", "party_code"]), ["kind", "party_code"])
-    n = counts.groupBy("kind", "party_code").agg(F.sum("c").alias("n"))
+    # the densities of ``delay_density``, as arrays from the few delays of a party
+    bell = F.array(*[F.exp(F.lit(-0.5 * (k / SIGMA) ** 2)) for k in range(16)])
+    density = F.transform(bins, lambda b: F.aggregate("ds", F.lit(0.0), lambda s, x: s + x["c"] * F.coalesce(F.get(bell, F.abs(b - x["delay"])), F.lit(0.0))))
+    own = counts.groupBy("kind", "party_code").agg(F.collect_list(F.struct("delay", "c")).alias("ds"), F.sum("c").alias("n")).withColumn("q", once(density))
+    own = own.withColumn("t", once(F.aggregate("q", F.lit(0.0), lambda s, x: s + x))).select("kind", "party_code", "n", once(F.transform("q", lambda x: x / F.col("t"))).alias("q"))
     whole = as_array(delay_density(counts.groupBy("delay").agg(F.sum("c").alias("c")), []), []).select(F.col("q").alias("g"), F.lit(1).alias("one"))
-    own = own.join(n, ["kind", "party_code"])
     if parties is not None:
         zero = F.transform(bins, lambda b: F.lit(0.0))
         own = parties.join(own, ["kind", "party_code"], "left").withColumns({"q": F.coalesce("q", zero), "n": F.coalesce("n", F.lit(0))})
     j = own.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # one row of 166 numbers
     w = F.col("n") / (F.col("n") + SHRINK)
     raw = F.zip_with("q", "g", lambda q, g: w * q + (1 - w) * g + FLOOR / BINS)
-    j = j.withColumn("raw", raw).withColumn("t", F.aggregate("raw", F.lit(0.0), lambda s, x: s + x))
+    j = j.withColumn("raw", once(raw)).withColumn("t", once(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x)))
     return j.select("kind", "party_code", F.transform("raw", lambda x: x / F.col("t")).alias("pmf"))
 
 
@@ -116,16 +123,17 @@ def expected_profile(docs: DataFrame, as_of: Column, horizon: int, hazard: float
     q = lambda k: F.when(k.between(LOW, HIGH), F.get("pmf", k - LOW)).otherwise(0.0)
     days = F.sequence(F.lit(1), F.lit(horizon))
     tail = F.aggregate(F.slice("pmf", F.greatest(F.lit(1), F.col("age") + 1 - LOW + 1), F.lit(BINS)), F.lit(0.0), lambda s, x: s + x)
-    d = docs.withColumn("age", age).withColumn("tail", F.when(F.col("age") < HIGH, tail).otherwise(0.0))
+    d = docs.withColumn("age", age).withColumn("tail", once(F.when(F.col("age") < HIGH, tail).otherwise(0.0)))
     denom = F.col("p_paid") * F.col("tail") + 1 - F.col("p_paid")
     branch = F.when(F.col("outstanding") <= dust, "dust").when(F.col("age") < LOW - horizon, "beyond").when(F.col("age") >= HIGH, "hazard").when(denom <= 1e-9, "starved").otherwise("pmf")
-    d = d.withColumn("branch", branch).withColumn("denom", denom)
+    d = d.withColumn("branch", once(branch)).withColumn("denom", once(denom))
     # working days up to the day before, in closed form: days less Sundays
     sundays = lambda i: F.floor((F.weekday(as_of) + i + 1) / 7) - F.floor((F.weekday(as_of) + 1) / 7)
     is_sunday = lambda i: (F.weekday(as_of) + i) % 7 == 6
-    haz = lambda i: F.when(is_sunday(i), 0.0).otherwise(F.col("p_paid") * hazard * F.pow(F.lit(1 - hazard), (i - 1 - sundays(i - 1)).cast("double")))
-    p = F.when(F.col("branch") == "hazard", F.transform(days, haz)).when(F.col("branch") == "pmf", F.transform(days, lambda i: F.col("p_paid") * q(F.col("age") + i) / F.col("denom"))).otherwise(F.transform(days, lambda i: F.lit(0.0)))
-    return d.withColumn("p", p).drop("age", "tail", "denom")
+    # the same for all documents: folded once if the day is a constant
+    haz = F.array(*[F.when(is_sunday(i), 0.0).otherwise(hazard * F.pow(F.lit(1 - hazard), (i - 1 - sundays(i - 1)).cast("double"))) for i in map(F.lit, range(1, horizon + 1))])
+    p = F.when(F.col("branch") == "hazard", F.transform(haz, lambda h: F.col("p_paid") * h)).when(F.col("branch") == "pmf", F.transform(days, lambda i: F.col("p_paid") * q(F.col("age") + i) / F.col("denom"))).otherwise(F.transform(days, lambda i: F.lit(0.0)))
+    return d.withColumn("p", once(p)).drop("age", "tail", "denom")
 
 
 def weekday_redistribute(profiles: DataFrame, as_of: Column, weekdays: DataFrame) -> DataFrame:
@@ -208,12 +216,19 @@ def monte_carlo(profiles: DataFrame, as_of: Column, horizon: int, opening: int,
     need no Python. Runs are dealt out by the join, and each (run, day) is
     pre-aggregated before it is shuffled.
     """
-    upto = F.transform("p", lambda x, i: F.aggregate(F.slice("p", F.lit(1), i + 1), F.lit(0.0), lambda s, y: s + y))
-    p = profiles.where("branch in ('pmf', 'hazard')").select("doc_id", "outstanding", "kind", "branch", F.datediff(as_of, "due_date").alias("late"), upto.alias("cum"))
+    none = F.struct(F.array().cast("array<double>").alias("c"), F.lit(0.0).alias("s"))
+    upto = F.aggregate(F.slice("p", 1, horizon), none, lambda a, x: F.struct(F.array_append(a["c"], a["s"] + x).alias("c"), (a["s"] + x).alias("s")))
+    p = profiles.where("branch in ('pmf', 'hazard')").select("doc_id", "outstanding", "kind", "branch", F.datediff(as_of, "due_date").alias("late"), once(upto).alias("a"))
+    p = p.select("doc_id", "outstanding", "kind", "branch", "late", F.col("a.c").alias("cum"), F.col("a.s").alias("total"))
     x = p.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "run", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    x = x.withColumn("_u", u(0)).withColumn("i", F.size(F.filter("cum", lambda c: c <= F.col("_u"))))
-    paid = (F.col("i") < horizon) & ((F.col("branch") != "hazard") | (F.col("kind") != "AR") | (u(1) < aging_recovery("late")))
+    # most draws are past the last day; for the others the day is searched by halves
+    x = x.withColumn("_u", u(0)).where("_u < total").withColumn("i", F.lit(0))
+    step = 1 << max(horizon - 1, 0).bit_length()
+    while step:
+        x = x.withColumn("i", F.when(F.get("cum", F.col("i") + (step - 1)) <= F.col("_u"), F.col("i") + step).otherwise(F.col("i")))
+        step //= 2
+    paid = (F.col("branch") != "hazard") | (F.col("kind") != "AR") | (u(1) < aging_recovery("late"))
     day = x.where(paid).groupBy("run", "i").agg(F.sum(F.when(F.col("kind") == "AR", F.col("outstanding")).otherwise(-F.col("outstanding"))).alias("net"))
     grid = profiles.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("i"))
     path = grid.join(day, ["run", "i"], "left").withColumn("closing", F.lit(opening) + F.sum(F.coalesce("net", F.lit(0))).over(Window.partitionBy("run").orderBy("i")))
