@@ -16,6 +16,29 @@ DOCS = "seq long, doc_id string, kind string, number string, counterparty string
 WORDS = "AMBER BIRCH CEDAR DELTA EMBER FALCON GARNET HARBOR".split()
 
 
+def book(spark, n, most, same=0):
+    rnd, day = random.Random(n), date(2026, 1, 1)
+    name = lambda: " ".join(rnd.sample(WORDS, rnd.randint(1, most)))
+    docs = []
+    for i in range(n):
+        due = day + timedelta(rnd.randrange(300))
+        docs.append((i, f"D{rnd.randrange(10**6)}-{i}", rnd.choice(["AR", "AR", "AP"]), f"INV-2026-{i:06d}", "AMBER" if i < same else name(), "P", rnd.randrange(1, 40) * 1000, 0, due - timedelta(rnd.choice([0, 40, 200])), due if i % 50 else None))
+    lines = [(i, f"L{i}", day + timedelta(rnd.randrange(300)), "CHQ CLG " + name(), rnd.choice([1, 1, -1]) * rnd.randrange(1, 60) * 1000, None) for i in range(n // 2)]
+    return spark.createDataFrame(lines, LINES), spark.createDataFrame(docs, DOCS)
+
+
+def test_lines_with_two_candidates_leave_before_pairs(spark):
+    lines, docs = book(spark, 600, 3)
+    slack = (F.col("l_size") * F.lit(0.18)).cast("long")
+    pairs = R.range_pairs(lines, docs, slack, 1_000_000, "fuzzy").where(F.arrays_overlap(R.S.name_tokens("l_hint"), "d_tokens"))
+    n = {r["l_line_id"]: r["count"] for r in pairs.groupBy("l_line_id").count().collect()}
+    left, right = R._pairs(R.line_index(lines), R.doc_index(docs))
+    gone = {r[0] for r in R.crowded(left.withColumn("slack", slack), right, "fuzzy").collect()}
+    assert gone and all(n[x] > 1 for x in gone)
+    got = {r["line_id"]: r["doc_id"] for r in R.t8_single_candidates(lines, docs, store=checkpointed).collect()}
+    assert got == {r["l_line_id"]: r["d_doc_id"] for r in pairs.collect() if n[r["l_line_id"]] == 1}
+
+
 def test_simulation_works_profiles_out_once(spark):
     day = F.to_date(F.lit("2026-09-05"))
     docs = spark.createDataFrame([(f"D{i}", "AR", 1000, date(2026, 9, 1), 0.9, [1 / 166] * 166) for i in range(3)], "doc_id string, kind string, outstanding long, due_date date, p_paid double, pmf array<double>")
@@ -23,3 +46,11 @@ def test_simulation_works_profiles_out_once(spark):
     assert plan.count("aggregate(slice(pmf") == 1 and plan.count("aggregate(slice(p#") == 1
 
 
+def test_stored_frames_can_be_dropped(spark):
+    df = checkpointed(spark.range(5))
+    assert df.count() == 5 and df.inputFiles()
+    files = df.inputFiles()
+    dropped(df)
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
