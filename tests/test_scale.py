@@ -27,6 +27,17 @@ def book(spark, n, most, same=0):
     return spark.createDataFrame(lines, LINES), spark.createDataFrame(docs, DOCS)
 
 
+def test_token_counts_are_those_of_the_pairs(spark):
+    for n, most, same in ((200, 7, 0), (1500, 3, 1200)):
+        lines, docs = book(spark, n, most, same)
+        pairs = R.t6_candidates(lines, docs).groupBy("l_line_id").agg(F.count("*"), F.min("d_doc_id"))
+        got = R.t6_counts(lines, docs, store=checkpointed)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
+    twice = lines.union(lines.limit(20))
+    pairs = R.t6_candidates(twice, docs).groupBy("l_line_id").agg(F.count("*"), F.min("d_doc_id"))
+    assert sorted(map(tuple, R.t6_counts(twice, docs, store=checkpointed).collect())) == sorted(map(tuple, pairs.collect()))
+
+
 def test_lines_with_two_candidates_leave_before_pairs(spark):
     lines, docs = book(spark, 600, 3)
     slack = (F.col("l_size") * F.lit(0.18)).cast("long")
