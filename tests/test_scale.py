@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.similarity import common_bound
 from ledgerspark.operators import forecast as C
 from ledgerspark.operators import recon as R
 from ledgerspark.plans.storage import checkpointed, dropped
@@ -50,6 +51,23 @@ def test_lines_with_two_candidates_leave_before_pairs(spark):
     assert got == {r["l_line_id"]: r["d_doc_id"] for r in pairs.collect() if n[r["l_line_id"]] == 1}
 
 
+def test_assignment_of_like_names(spark, monkeypatch):
+    lines, docs = book(spark, 400, 3)
+    run = lambda: sorted((r["l_seq"], r["d_seq"]) for r in R.greedy_assignment(R.t7_candidates(lines, docs, store=checkpointed), store=checkpointed).collect())
+    want = run()
+    monkeypatch.setattr(R, "NAME_PAIRS", 0)  # names of pairs only
+    monkeypatch.setattr(R, "IN_ORDER", 3)  # rounds to the last pairs
+    assert want and run() == want
+
+
+def test_bound_of_the_character_ratio():
+    rnd = random.Random(1)
+    names = ["".join(rnd.choice("ABCé ") for _ in range(rnd.randrange(12))) for _ in range(60)] + ["A" * 70]
+    a, b = (pd.Series(x) for x in zip(*[(x, y) for x in names for y in names], strict=True))
+    assert all(bound >= SequenceMatcher(None, x, y, autojunk=False).ratio() - 1e-9 for bound, x, y in zip(common_bound(a, b), a, b, strict=True))
+    assert common_bound(pd.Series(["ABC"]), pd.Series(["CBA"]))[0] < 0.4
+
+
 def test_simulation_works_profiles_out_once(spark):
     day = F.to_date(F.lit("2026-09-05"))
     docs = spark.createDataFrame([(f"D{i}", "AR", 1000, date(2026, 9, 1), 0.9, [1 / 166] * 166) for i in range(3)], "doc_id string, kind string, outstanding long, due_date date, p_paid double, pmf array<double>")
