@@ -83,3 +83,20 @@ def test_stored_frames_can_be_dropped(spark):
     import os
 
     assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_ladder_leaves_one_copy_of_the_books(spark):
+    from pathlib import Path
+
+    from ledgerspark.plans.ladder import reconcile
+
+    docs = [(i, f"D{i}", "AR", f"INV-2026-{i:06d}", "AMBER WORKS", "P", 1000 + i, 0, date(2026, 8, 15), date(2026, 9, 1)) for i in range(1, 6)]
+    # two lines quote each number, so that there is a second round
+    lines = [(i, f"L{i}", date(2026, 9, 3), f"NEFT CR FROM AMBER WORKS INV-2026-{(i + 1) // 2:06d}", 1000 + (i + 1) // 2, f"U{i}") for i in range(1, 11)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("stored-*"))
+    empty = lambda s: spark.createDataFrame([], s)
+    m, left = reconcile(spark.createDataFrame(lines, LINES), spark.createDataFrame(docs, DOCS), empty("seq long, advice_id string, payer_name string, amount long, notified_on date, invoice_no string, utr string"), empty("seq long, settlement_id string, settled_on date, payout_utr string, txn_count int, gross long, fee long, tmn long, gst long, tds long, net long"), strategy="exact")
+    assert m.count() == 5 and left.count() == 5
+    kinds = [spark.read.parquet(str(p)).columns for p in set(shared.glob("stored-*")) - before]
+    assert sum("narration" in k for k in kinds) == 1 and sum("counterparty" in k for k in kinds) == 1
