@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import threading
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Bytes of text that the vectorised helpers look at in one go.
 CHUNK_BYTES = 1 << 20
+#: Per thread, the list (``made``) to which scratch folders are noted.
+_noting = threading.local()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +70,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     del df
     _sweep(spark)
     atexit.register(_remove, spark, path)
+    _note("", path)
     return spark.read.schema(kind).parquet(path)
 
 
+@contextmanager
+def noted() -> Iterator[list]:
+    """The list of what ``written`` and ``bucketed`` make meanwhile in this thread, for ``drop_noted``."""
+    before, _noting.made = getattr(_noting, "made", None), []
+    try:
+        yield _noting.made
+    finally:
+        _noting.made = before
+
+
+def _note(name: str, path: str) -> None:
+    if getattr(_noting, "made", None) is not None:
+        _noting.made.append((name, path))
+
+
+def drop_noted(spark: SparkSession, made: list, but: DataFrame) -> None:
+    """Delete the folders of a list of ``noted``, except those that ``but`` reads; these stay in the list."""
+    held = {f.rstrip("/").rsplit("/", 2)[-2] for f in but.inputFiles()}
+    for item in list(made):
+        if item[1].rsplit("/", 1)[1] not in held:
+            _forget(spark, *item) if item[0] else _remove(spark, item[1])
+            made.remove(item)
+
+
 def _forget(spark: SparkSession, name: str, path: str) -> None:
     try:
         spark.sql(f"drop table if exists {name}")
@@ -89,6 +119,7 @@ def bucketed(df: DataFrame, key: str, n: int, label: str, name: str | None = Non
     del df
     _sweep(spark)
     atexit.register(_forget, spark, name, path)
+    _note(name, path)
     return spark.table(name)
 
 

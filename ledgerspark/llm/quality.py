@@ -52,9 +52,9 @@ WORDS = 3
 #: Of so many trusted texts one is held out.
 HELD = 10
 #: Bytes of text for each part and shard, the least number of both, and rounds of parts beyond a size.
-PART_BYTES, LEAST, ROUNDS, ONE_ROUND = 12 << 20, 6, 12, 64 << 20
+PART_BYTES, LEAST, ROUNDS, ONE_ROUND = 12 << 20, 6, 8, 64 << 20
 #: Bytes of trusted text that are counted in one go.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 12 << 20
 
 _table: np.ndarray | None = None
 
@@ -174,36 +174,43 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(start, offs)
 
 
+def _once(x: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted array; the hash tables of np.unique take longer."""
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
 def _ids(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values, sorted, and the place of each value among them."""
     by = np.argsort(x)
     y = x[by]
     new = np.ones(len(x), bool)
     new[1:] = y[1:] != y[:-1]
-    place = np.empty(len(x), np.int64)
-    place[by] = np.cumsum(new) - 1
+    place = np.empty(len(x), np.int32 if len(x) < 1 << 31 else np.int64)
+    place[by] = np.cumsum(new, dtype=place.dtype) - 1
     return y[new], place
 
 
-def grams(words: np.ndarray, offs: np.ndarray, lower: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def grams(words: np.ndarray, offs: np.ndarray, lower: bool = True, places: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By order the distinct n-grams, sorted, and the place of each token's n-gram among them.
 
     An n-gram is a context (both words before in 64 bits, the word before, or
-    0) and a word. ``lower``: whether to give the lower orders, too.
+    0) and a word. ``lower``: whether to give the lower orders, too. Without
+    ``places`` these are None.
     """
+    ids = _ids if places else lambda x: (_once(np.sort(x)), None)
     at = np.arange(len(words)) + np.repeat(np.arange(1, len(offs)) * (WORDS - 1), np.diff(offs))
     pad = np.full(len(words) + (WORDS - 1) * (len(offs) - 1), _START, np.uint32)
     pad[at] = words
     two = np.r_[np.uint32(0), pad[:-1]].astype(np.uint64) << np.uint64(32) | pad
     pairs, pair = _ids(two)
-    three, place = _ids(pair[at - 1].astype(np.uint64) << np.uint64(32) | words)
+    three, place = ids(pair[at - 1].astype(np.uint64) << np.uint64(32) | words)
     out = {3: (pairs[(three >> np.uint64(32)).astype(np.int64)], (three & _LOW).astype(np.uint32), place)}
     if lower:
         asked = np.zeros(len(pairs), bool)
         asked[pair[at]] = True
         two = pairs[asked]
-        out[2] = two >> np.uint64(32), (two & _LOW).astype(np.uint32), (np.cumsum(asked) - 1)[pair[at]]
-        one, place = _ids(words)
+        out[2] = two >> np.uint64(32), (two & _LOW).astype(np.uint32), (np.cumsum(asked, dtype=pair.dtype) - 1)[pair[at]] if places else None
+        one, place = ids(words if places else out[2][1])
         out[1] = np.zeros(len(one), np.uint64), one, place
     return out
 
@@ -221,9 +228,10 @@ def _by_shard(order: int, ctx: np.ndarray, w: np.ndarray, n: int):
     """(shard, rows) of n-grams, of single words by the word; each order has ``n`` shards of its own."""
     shard = (mix((w.astype(np.uint64) if order == 1 else ctx) + np.uint64(order)) % np.uint64(n)).astype(np.int32)
     by = np.argsort(shard.astype(np.uint16) if n < 1 << 16 else shard, kind="stable")
-    ids, first = np.unique(shard[by], return_index=True)
+    size = np.bincount(shard)
+    ids = np.flatnonzero(size)
     if len(ids):
-        yield from zip((ids * WORDS + order - 1).tolist(), np.split(by, first[1:]), strict=True)
+        yield from zip((ids * WORDS + order - 1).tolist(), np.split(by, np.cumsum(size[ids])[:-1]), strict=True)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -301,21 +309,27 @@ def fit_words(trusted: DataFrame, shards: int, text_col: str = "text") -> tuple[
     return counts.select(*_COUNTS.names), model
 
 
-def _part_grams(table: pa.Table):
-    """Offsets of the tokens by row, and the n-grams of all rows."""
-    buf, offs = arrow_bytes(table.column("_lm_text"))
-    words, at = [], [np.zeros(1, np.int64)]
-    for lo, hi in chunks(offs):
-        h, o = tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1])
-        words.append(h)
-        at.append(o[1:] + at[-1][-1])
-    words, at = np.concatenate([*words, np.zeros(0, np.uint32)]), np.concatenate(at)
-    return at, grams(words, at)
+def _tokenised(batches):
+    """The text replaced by its tokens, as _lm_words."""
+    for b in batches:
+        buf, offs = arrow_bytes(b.column("_lm_text"))
+        words = []
+        for lo, hi in chunks(offs):
+            h, at = tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1])
+            words += [h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        keep = [c for c in b.schema.names if c != "_lm_text"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(words, pa.binary())], names=[*keep, "_lm_words"])
+
+
+def _part_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a part, and offsets by row."""
+    col = table.column("_lm_words").to_pylist()
+    return np.frombuffer(b"".join(col), np.uint32), np.r_[0, np.cumsum([len(x) // 4 for x in col], dtype=np.int64)]
 
 
 def _ask(n: int):
     def run(key, table):
-        rows = [(shard, key[0].as_py(), _pack(ctx[i]), _pack(w[i])) for order, (ctx, w, _) in _part_grams(table)[1].items() for shard, i in _by_shard(order, ctx, w, n)]
+        rows = [(shard, key[0].as_py(), _pack(ctx[i]), _pack(w[i])) for order, (ctx, w, _) in grams(*_part_words(table), places=False).items() for shard, i in _by_shard(order, ctx, w, n)]
         return pa.Table.from_batches([_rows(rows, _ASKS)])
 
     return run
@@ -359,7 +373,8 @@ def _answer(model: dict):
 
 def _score(model: dict, n: int, keep: list):
     def run(key, docs, answers):
-        at, asked = _part_grams(docs)
+        words, at = _part_words(docs)
+        asked = grams(words, at)
         given = {r["shard"]: r for r in answers.to_pylist()}
         p = np.full(at[-1], 1.0 / (model[1][1] + 1))
         for order in range(1, WORDS + 1):
@@ -382,10 +397,11 @@ def code_lengths(docs: DataFrame, counts: DataFrame, model: dict, shards: int, s
     parts = max(LEAST, size // rounds // PART_BYTES)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_lm_text"))
     src = src.withColumn("_lm_part", F.pmod(F.xxhash64(*src.columns), F.lit(parts * rounds)).cast("int"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in src.dtypes if c != "_lm_text") + ", _lm_words binary"
     out = None
     for turn in range(rounds):
-        some = bucketed(src.where(F.col("_lm_part") % rounds == turn).repartition(2 * parts, "_lm_part"), "_lm_part", 2 * parts, "parts")
-        asks = some.select("_lm_part", "_lm_text").groupBy("_lm_part").applyInArrow(_ask(shards), "shard int, part int, ctx binary, w binary")
+        some = bucketed(src.where(F.col("_lm_part") % rounds == turn).mapInArrow(_tokenised, kinds).repartition(2 * parts, "_lm_part"), "_lm_part", 2 * parts, "parts")
+        asks = some.select("_lm_part", "_lm_words").groupBy("_lm_part").applyInArrow(_ask(shards), "shard int, part int, ctx binary, w binary")
         answers = asks.repartition(shards, "shard").groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(_answer(model), "shard int, part int, u binary, lam binary")
         kind = ", ".join([f"`{c}` {t}" for c, t in some.dtypes if c in keep] + ["_lm_nll double", "_lm_n long"])
         got = written(some.groupBy("_lm_part").cogroup(answers.repartition(2 * parts, "part").groupBy("part")).applyInArrow(_score(model, shards, keep), kind), "scored")
