@@ -52,9 +52,9 @@ WORDS = 3
 #: Of so many trusted texts one is held out.
 HELD = 10
 #: Bytes of text for each part and shard, the least number of both, and rounds of parts beyond a size.
-PART_BYTES, LEAST, ROUNDS, ONE_ROUND = 12 << 20, 6, 8, 64 << 20
+PART_BYTES, LEAST, ROUNDS, ONE_ROUND = 10 << 20, 6, 8, 64 << 20
 #: Bytes of trusted text that are counted in one go.
-COUNT_BYTES = 12 << 20
+COUNT_BYTES = 8 << 20
 
 _table: np.ndarray | None = None
 
@@ -264,12 +264,22 @@ def _dealt(order: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray, n: int):
         yield _rows([(shard, _pack(ctx[i]), _pack(w[i]), _pack(c[i]))], _COUNTS)
 
 
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` a chunk at a time, which bounds the memory for bytes."""
+    words, at = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for lo, hi in chunks(offs):
+        h, o = tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1])
+        words.append(h)
+        at.append(o[1:] + at[-1][-1])
+    return np.concatenate(words), np.concatenate(at)
+
+
 def _count_texts(n: int):
     def run(batches):
         for b in batches:
             buf, offs = arrow_bytes(b.column("text"))
             for lo, hi in chunks(offs, COUNT_BYTES):
-                ctx, w, place = grams(*tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1]), lower=False)[WORDS]
+                ctx, w, place = grams(*_words(buf, offs[lo : hi + 1]), lower=False)[WORDS]
                 yield from _dealt(WORDS, ctx, w, np.bincount(place, minlength=len(w)).astype(np.int64), n)
 
     return run
@@ -313,10 +323,8 @@ def _tokenised(batches):
     """The text replaced by its tokens, as _lm_words."""
     for b in batches:
         buf, offs = arrow_bytes(b.column("_lm_text"))
-        words = []
-        for lo, hi in chunks(offs):
-            h, at = tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1])
-            words += [h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        h, at = _words(buf, offs)
+        words = [h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         keep = [c for c in b.schema.names if c != "_lm_text"]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(words, pa.binary())], names=[*keep, "_lm_words"])
 
