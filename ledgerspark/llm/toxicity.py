@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import arrow_bytes, chunks, mix, read_table, small_side
+from .common import _BYTE, _LOWER, _P_BYTE, _SPACE, arrow_bytes, chunks, mix, read_table, small_side
 from .language_id import fold, segment_sum
 
 BUCKETS = 1 << 20
@@ -36,7 +35,7 @@ SAMPLE_PER_LABEL = 8000
 MIN_DOCS = 4
 MIN_G = 16.0
 
-_CUT = common._SPACE.copy()
+_CUT = _SPACE.copy()
 _CUT[[c for c in range(33, 128) if not chr(c).isalnum()]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
@@ -59,9 +58,9 @@ def bags(buf: np.ndarray, offs: np.ndarray, buckets: int):
     after[:-1] = cut[1:]
     start = np.flatnonzero(~cut & (before | edge[:n]))
     end = np.flatnonzero(~cut & (after | edge[1:])) + 1
-    up, down = common._P_BYTE.upto(n + 1)
+    up, down = _P_BYTE.upto(n + 1)
     p = np.zeros(n + 1, np.uint64)
-    np.cumsum(common._BYTE[common._LOWER[buf]] * up[:n], out=p[1:])
+    np.cumsum(_BYTE[_LOWER[buf]] * up[:n], out=p[1:])
     hashes = [(p[end] - p[start]) * down[start]]
     valid = [np.ones(len(start), bool)]
     for i, k in enumerate(PREFIXES):

@@ -3,10 +3,12 @@
 import collections
 from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import decontaminate, line_dedup, mixing, quality, simhash
+from ledgerspark.llm import decontaminate, line_dedup, mixing, quality, simhash, toxicity
 
 ITEM = "Tom has 3 apples. Anna gives him 5. Ben eats 2. How many apples does Tom have now?"
 CLASH = "doc_id long, text string, lang string, source string, _mix_s string, _mix_slot int, _lm_node int, _lm_items int, _lm_nll int, _lm_removed int, d int, h int, s int, node int, _in0 int"
@@ -86,3 +88,9 @@ def test_long_runs_of_names(spark):
     docs = spark.createDataFrame([(i, r + "\n" + ITEM) for i, r in enumerate(runs)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert {r["doc_id"]: r["_lm_items"] for r in decontaminate.decontaminate(docs, bench).collect()} == {i: [1] for i in range(5)}
+
+
+def test_toxicity_travels_by_value():
+    """The functions that run on executors take no module of the package with them, which can hold what cannot be sent."""
+    for f in (toxicity._frequencies(64), toxicity._features(np.arange(3), 64), toxicity._score(None, 64, 0.5)):
+        assert callable(cloudpickle.loads(cloudpickle.dumps(f)))
