@@ -106,16 +106,17 @@ def _forget(spark: SparkSession, name: str, path: str) -> None:
     _remove(spark, path)
 
 
-def bucketed(df: DataFrame, key: str, n: int, label: str, name: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, n: int, label: str, name: str | None = None, ordered: bool = False) -> DataFrame:
     """``written`` in ``n`` buckets of a key: joins and aggregations on the key (and more) need no shuffle.
 
     ``df`` should be partitioned by the key into ``n``, so that each task writes one file.
-    Frames with the same ``name`` go into one table.
+    Frames with the same ``name`` go into one table. ``ordered`` sorts each file by the key.
     """
     spark = df.sparkSession
     name = name or f"{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.write.mode("append").bucketBy(n, key).format("parquet").option("path", path).saveAsTable(name)
+    to = df.write.mode("append").bucketBy(n, key)
+    (to.sortBy(key) if ordered else to).format("parquet").option("path", path).saveAsTable(name)
     del df
     _sweep(spark)
     atexit.register(_forget, spark, name, path)

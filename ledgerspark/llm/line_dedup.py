@@ -11,9 +11,11 @@ earlier line (by document id, then line number) has Jaccard similarity of
    the threshold share a word in their prefixes: n - ceil(t * n) + 1 words of
    the longer line, and n - ceil(2t / (1 + t) * n) + 1 of the shorter. Words
    that stand in one prefix only are dropped.
-3. Rounds of hubs: in each group of a word and a level of length, lines are
-   held against one line of the group, which settles groups of near copies
-   with work linear in the postings.
+3. Rounds settle groups of near copies: open lines are held against one of
+   ``SHARE`` ** k earlier lines, drawn by a hash, with k one less each time. A
+   line with many near copies before it meets one of them and is closed, so
+   that about ``SHARE`` / e pairs of a line with near copies are left for the
+   next round.
 4. Lines that are still open meet all earlier lines of their groups.
 
 Every pair passes the length filter, the positional filter and a parity filter
@@ -37,19 +39,22 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, bucketed, read_table, small_rows, small_side, written
+from .common import apart, bucketed, drop_written, read_table, small_rows, small_side, written
 
 THRESHOLD = 0.8
 #: Buckets of hashed words in the table of rarity classes.
 BUCKETS = 1 << 15
 #: Lines of more words have 256 parities, others 64.
 LONG = 64
-#: Pairs for each posting that are all looked at without another round of hubs.
-FEW = 16
+LONG_BITS = ("b1", "b2", "b3")
+#: One of how many earlier lines, of those that the next round takes, a round takes.
+SHARE = 32
+#: Postings for each pair that the next round would make, from which on this one is not verified.
+FEW = 32
+#: Most postings in a bucket for which the join of all pairs holds a side in memory.
+HASHED = 1_500_000
 #: Bytes of text for each bucket of the postings, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 100_000
-#: Rounds of hubs after which all pairs that are left are looked at.
-ROUNDS = 4
 GAP = r"[\x20\x09-\x0D]+"
 AT = ("d", "h", "i")
 
@@ -77,7 +82,7 @@ def rarity_classes(docs: DataFrame) -> Column:
 
     The table has the same size whatever the data.
     """
-    word = docs.select(F.explode_outer(F.split("_lm_text", "\n")).alias("line")).select(F.explode_outer(pieces("line")).alias("w"))
+    word = docs.select(F.replace("_lm_text", F.lit("\n"), F.lit(" ")).alias("text")).select(F.explode_outer(pieces("text")).alias("w"))
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count("w").alias("n"))
     table = ["0"] * BUCKETS
     for b, n in counts.collect():
@@ -95,7 +100,7 @@ def _equal_lines(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
-    """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a, b (parities), without the ``equal`` lines.
+    """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a (parities), b1 to b3 (those of three quarters of the words), without the ``equal`` lines.
 
     w is cut to 31 bits to spare shuffle; words that then fall together give
     candidates which the filters and the verification refuse.
@@ -112,11 +117,11 @@ def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
     bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(63).cast("int"))
     parity = F.aggregate("c", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(bit(c)))
     quarter = lambda q: F.aggregate("c", F.lit(0).cast("long"), lambda x, c: F.when(F.shiftrightunsigned(c, 6).bitwiseAND(3) == q, x.bitwiseXOR(bit(c))).otherwise(x))
-    more = F.when(n > LONG, F.array(*[quarter(q) for q in range(1, 4)]))
-    rows = rows.select(*AT, n.cast("int").alias("n"), F.when(n > LONG, quarter(0)).otherwise(parity).alias("a"), more.alias("b"), F.slice("c", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")).alias("c"))
-    rows = rows.select(*AT, "n", "a", "b", F.posexplode_outer("c").alias("p", "c"))
+    long = [F.when(n > LONG, quarter(q)).alias(f"b{q}") for q in (1, 2, 3)]
+    rows = rows.select(*AT, n.cast("int").alias("n"), parity.alias("a"), *long, F.slice("c", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")).alias("c"))
+    rows = rows.select(*AT, "n", "a", *LONG_BITS, F.posexplode_outer("c").alias("p", "c"))
     level = F.least(F.lit(61), F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9)).cast("int")
-    return rows.select(F.shiftrightunsigned("c", 12).bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), *AT, "n", "p", "a", "b").withColumn("level", level)
+    return rows.select(F.shiftrightunsigned("c", 12).bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), *AT, "n", "p", "a", *LONG_BITS).withColumn("level", level)
 
 
 def shuffled_once(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -163,17 +168,12 @@ def _near(threshold: float) -> Column:
     most = total - 2 * F.ceil(threshold / (1 + threshold) * total - 1e-9)
     # at the first word that two lines share, all words before it differ, and the rests differ by their lengths at least
     apart = F.col("y.p") + F.col("x.p") + F.abs((F.col("y.n") - F.col("y.p")) - (F.col("x.n") - F.col("x.p")))
-    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    quarters = bits(F.col("y.a"), F.col("x.a"))
-    whole = {}
-    for p in "yx":
-        b = F.col(f"{p}.b")
-        whole[p] = F.when(b.isNull(), F.col(f"{p}.a")).otherwise(F.col(f"{p}.a").bitwiseXOR(b[0]).bitwiseXOR(b[1]).bitwiseXOR(b[2]))
-    for q in range(3):
-        quarters = quarters + bits(F.col("y.b")[q], F.col("x.b")[q])
-    differ = F.when(F.least("y.n", "x.n") > LONG, quarters).otherwise(bits(whole["y"], whole["x"]))
+    parts = {c: F.col(f"y.{c}").bitwiseXOR(F.col(f"x.{c}")) for c in ("a", *LONG_BITS)}
+    whole = F.bit_count(parts["a"]) <= most
+    first = parts["a"].bitwiseXOR(parts["b1"]).bitwiseXOR(parts["b2"]).bitwiseXOR(parts["b3"])
+    quarters = F.bit_count(first) + F.bit_count(parts["b1"]) + F.bit_count(parts["b2"]) + F.bit_count(parts["b3"])
     length = F.least("y.n", "x.n") >= threshold * F.greatest("y.n", "x.n") - 1e-9
-    return length & (apart <= most) & (differ <= most)
+    return whole & length & (apart <= most) & ((F.least("y.n", "x.n") <= LONG) | (quarters <= most))
 
 
 def _at(p: str) -> Column:
@@ -196,37 +196,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(enough).select(*AT).distinct()
 
 
-def _hub_pairs(posts: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Pairs of a line that is open and the hub of one of its groups, the later line first.
+def _inner(s: str, threshold: float) -> Column:
+    """Whether a posting is among those that the shorter line of a pair needs."""
+    return F.col(f"{s}.p") < F.col(f"{s}.n") - F.ceil(2 * threshold / (1 + threshold) * F.col(f"{s}.n") - 1e-9) + 1
 
-    The hub is the first line of the group in the first round, and one by a
-    hash in the others. A line that has several hubs is held against the one
-    with which it shares most words; the others are left to later steps.
-    """
-    rank = F.struct(*AT) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), *AT).alias("r"), *AT)
-    # near copies choose the same words, of which long lines have many
-    step = F.when(F.col("n") <= 12, 1).when(F.col("n") <= 32, 2).when(F.col("n") <= 100, 4).otherwise(8)
-    some = posts.where(F.pmod(F.xxhash64("w", F.lit(turn)), step) == 0)
-    hub = some.groupBy("w", "level").agg(F.min_by(F.struct(*AT, "n", "p", "a", "b", "open"), rank).alias("x"), F.count("*").alias("c")).where("c > 1")
-    rows = some.alias("y").join(hub.select(F.col("w").alias("xw"), F.col("level").alias("xlevel"), "x"), (F.col("w") == F.col("xw")) & (F.col("level") == F.col("xlevel")))
-    rows = rows.where(_near(threshold) & (_at("y") != _at("x")))
-    back = _at("x") > _at("y")
-    ends = [F.when(back, F.col(f"{s}.{c}")).otherwise(F.col(f"{o}.{c}")).alias(n + c) for s, o, n in (("x", "y", ""), ("y", "x", "x")) for c in AT]
-    return rows.where(F.when(back, F.col("x.open")).otherwise(F.col("y.open"))).select(*ends)
-    votes = rows.groupBy(*rows.columns).agg(F.count("*").alias("v"))
-    return votes.groupBy(*AT).agg(F.max(F.struct("v", "xd", "xh", "xi")).alias("m")).select(*AT, "m.xd", "m.xh", "m.xi")
-
-
-def _all_pairs(posts: DataFrame, threshold: float) -> DataFrame:
+
+def _some_pairs(posts: DataFrame, rate: int, threshold: float) -> DataFrame:
+    """Pairs of an open line y and an earlier line x, for one of ``rate`` lines x, drawn by a hash."""
+    x = posts.where(F.pmod(F.xxhash64(F.lit(rate), *AT), F.lit(rate)) == 0)
+    x = x.withColumn("level", F.explode(F.array_distinct(F.array(F.col("level") - 1, F.col("level"), F.least(F.lit(61), F.col("level") + 1))))).hint("shuffle_hash").alias("x")
+    shorter = F.when(F.col("x.n") <= F.col("y.n"), _inner("x", threshold)).otherwise(_inner("y", threshold))
+    rows = posts.where("open").alias("y").join(x, (F.col("y.w") == F.col("x.w")) & (F.col("y.level") == F.col("x.level")) & (_at("x") < _at("y")) & shorter & _near(threshold))
+    return rows.select(*[F.col(f"y.{c}") for c in AT], *[F.col(f"x.{c}").alias(f"x{c}") for c in AT])
+
+
+def _all_pairs(posts: DataFrame, threshold: float, hashed: bool = False) -> DataFrame:
     """Pairs of an open line and an earlier line that share a posting and pass the filters.
 
     The longer line y of a pair meets the shorter line x; a shorter line needs
     only its first n - ceil(2t / (1 + t) * n) + 1 words for that. Lines meet
     the shorter ones of their own level of length and of the level below.
     """
-    inner = F.col("p") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
     y = posts.alias("y")
-    x = posts.where(inner).withColumn("level", F.explode(F.array_distinct(F.array(F.col("level"), F.least(F.lit(61), F.col("level") + 1))))).alias("x")
+    x = posts.alias("x").where(_inner("x", threshold)).withColumn("level", F.explode(F.array_distinct(F.array(F.col("level"), F.least(F.lit(61), F.col("level") + 1)))))
+    x = (x.hint("shuffle_hash") if hashed else x).alias("x")
     first = _at("x") < _at("y")
     turn = (F.col("x.n") < F.col("y.n")) & F.when(first, F.col("y.open")).otherwise(F.col("x.open")) | (F.col("x.n") == F.col("y.n")) & first & F.col("y.open")
     rows = y.join(x, (F.col("y.w") == F.col("x.w")) & (F.col("y.level") == F.col("x.level")) & (F.col("x.n") <= F.col("y.n")) & _near(threshold) & turn)
@@ -234,6 +227,11 @@ def _all_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     return rows.select(*ends)
 
 
+def _rounds(rows: int) -> int:
+    """Rounds before that of all pairs: two, and one more for each ``SHARE`` times 2^25 postings."""
+    return 2 + max(0, math.ceil(math.log(max(rows, 1) / (1 << 25), SHARE)))
+
+
 def _close(posts: DataFrame, closed: DataFrame) -> DataFrame:
     """The postings with ``open``: whether their line is not among the closed ones."""
     shut = small_side(closed.select(*[F.col(c).alias(f"c{c}") for c in AT]).withColumn("shut", F.lit(True)))
@@ -245,22 +243,21 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """d, h, i of the lines to remove, from columns _lm_id, _lm_h and _lm_text."""
     equal = written(_equal_lines(docs), "equal_lines")
     n = _buckets(docs)
-    every = bucketed(_shared(_postings(docs, equal, threshold), n), "w", n, "postings")
-    posts, closed, before = every.withColumn("open", F.lit(True)), None, None
+    every = bucketed(_shared(_postings(docs, equal, threshold), n), "w", n, "postings", ordered=True)
+    posts, closed = every.withColumn("open", F.lit(True)), None
+    buckets = every.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.max("c").alias("most")).first()
     with kept_partitioning(docs.sparkSession):
-        for turn in range(ROUNDS):
-            new = written(_verified(_hub_pairs(posts, turn, threshold), docs, threshold), "closed")
-            closed = new if closed is None else closed.unionByName(new)
-            posts = _close(every, closed)
-            # what the join of all pairs would look at, over the postings
-            groups = posts.groupBy("w", "level").agg(F.count("*").cast("double").alias("c"), F.count_if("open").cast("double").alias("o"))
-            size = groups.agg(F.sum(F.col("c") * F.col("o")).alias("pairs"), F.sum("c").alias("rows")).first()
-            if not size["rows"] or size["pairs"] <= FEW * size["rows"] or (before is not None and size["pairs"] > before / 2):
-                break
-            before = size["pairs"]
-        pairs = written(_all_pairs(posts, threshold), "all_pairs")
+        rates = [SHARE**k for k in range(_rounds(buckets["rows"] or 0), -1, -1)]
+        for rate, then in zip(rates, rates[1:], strict=False):
+            some = written(_some_pairs(posts, rate, threshold), "some_pairs")
+            if some.count() * rate / then > buckets["rows"] / FEW:
+                new = written(_verified(some, docs, threshold), "closed")
+                closed = new if closed is None else closed.unionByName(new)
+                posts = _close(every, closed)
+            drop_written(some)
+        pairs = written(_all_pairs(posts, threshold, (buckets["most"] or 0) <= HASHED), "all_pairs")
     rest = _verified(pairs, docs, threshold)
-    return equal.unionByName(closed).unionByName(rest).distinct()
+    return (equal if closed is None else equal.unionByName(closed)).unionByName(rest).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -163,6 +163,25 @@ def test_line_dedup(docs, corpus):
     assert got == {i: sorted(gone[i]) for i, _ in corpus}
 
 
+def test_line_dedup_of_a_large_group(spark, monkeypatch):
+    """Lines of one group of which one in eight is a near copy of another: few pairs are left for the join of all."""
+    rnd, made = random.Random(7), {}
+    base = [f"w{k}" for k in range(40)]
+    lines = [rnd.sample(base, 35) for _ in range(2000)]
+
+    def counted(df, label, write=line_dedup.written):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"] for r in line_dedup.line_dedup(docs).collect() if r["_lm_removed"]}
+    sets = [frozenset(x) for x in lines]
+    assert got == {i for i, s in enumerate(sets) if any(10 * len(s & o) >= 8 * len(s | o) for o in sets[:i])}
+    assert made["all_pairs"] < 100 * len(lines)
+
+
 def test_topk(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(24)]) for i in range(230)] + [(300, None), (301, [float("nan")] * 24), (350, [0.5, None] + [0.1] * 22), (120, [0.1] * 24), (400, [0.25] * 8), (450, [0.5] * 8)]
