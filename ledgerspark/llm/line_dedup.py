@@ -245,9 +245,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n = _buckets(docs)
     every = bucketed(_shared(_postings(docs, equal, threshold), n), "w", n, "postings", ordered=True)
     posts, closed = every.withColumn("open", F.lit(True)), None
-    buckets = every.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.max("c").alias("most")).first()
+    buckets = every.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.max("c").alias("most")).na.fill(0).first()
     with kept_partitioning(docs.sparkSession):
-        rates = [SHARE**k for k in range(_rounds(buckets["rows"] or 0), -1, -1)]
+        rates = [SHARE**k for k in range(_rounds(buckets["rows"]), -1, -1)]
         for rate, then in zip(rates, rates[1:], strict=False):
             some = written(_some_pairs(posts, rate, threshold), "some_pairs")
             if some.count() * rate / then > buckets["rows"] / FEW:
@@ -255,7 +255,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 closed = new if closed is None else closed.unionByName(new)
                 posts = _close(every, closed)
             drop_written(some)
-        pairs = written(_all_pairs(posts, threshold, (buckets["most"] or 0) <= HASHED), "all_pairs")
+        pairs = written(_all_pairs(posts, threshold, buckets["most"] <= HASHED), "all_pairs")
     rest = _verified(pairs, docs, threshold)
     return (equal if closed is None else equal.unionByName(closed)).unionByName(rest).distinct()
 
