@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerspark.llm import quality
 
@@ -83,3 +84,38 @@ def test_tokens_of_neighbouring_texts():
     data = [t.encode() for t in texts]
     h, at = quality.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
     assert at.tolist() == [0, 1, 3, 3, 6] and h[3] == h[5] and len(set(h.tolist())) == 5
+
+
+def test_distinct_values_without_argsort(monkeypatch):
+    rnd = np.random.default_rng(5)
+    cases = [rnd.integers(0, 900, 5000).astype(np.uint32), rnd.integers(0, 1 << 50, 5000).astype(np.uint64) // np.uint64(1 << 42), np.array([7], np.uint64), np.zeros(0, np.uint32)]
+    wide = rnd.integers(0, 40, 5000).astype(np.uint64) << np.uint64(58)
+    for x in [*cases, wide]:
+        ids, place = quality._ids(x)
+        assert ids.dtype == x.dtype and (ids == np.unique(x)).all() and (ids[place] == x).all()
+
+    def refused(*a, **k):
+        raise AssertionError("argsort of values that fit with their position")
+
+    monkeypatch.setattr(quality.np, "argsort", refused)
+    for x in cases[:-1]:
+        quality._ids(x)
+    words = rnd.integers(0, 1 << 32, 400, dtype=np.uint32)[rnd.integers(0, 400, 5000)]
+    for order, (ctx, w, place) in quality.grams(words, np.array([0, 1200, 1200, 5000])).items():
+        assert (w[place] == words).all()
+        key = list(zip(ctx.tolist(), w.tolist(), strict=True))
+        assert key == sorted(set(key)) and (order > 1 or not ctx.any())
+
+
+def test_runs_are_short():
+    c = np.array([1, 2, 255], np.int64)
+    assert quality._unpack(quality._pack(c), np.int64).tolist() == c.tolist() and quality._pack(c)[8] == 1
+    c[1] = 1 << 40
+    assert quality._unpack(quality._pack(c), np.int64).tolist() == c.tolist()
+    ctx, w = np.array([3, 3, 3, 9], np.uint64), np.array([1, 4, 5, 1], np.uint32)
+    sizes = {3: ((0.5, 0.75, 0.9), 4, 6, 2.0)}
+    counts = pa.Table.from_batches([quality._rows([(2, quality._pack(ctx), quality._pack(w), quality._pack(np.array([1, 2, 1, 2])))], quality._COUNTS)])
+    asks = pa.Table.from_batches([quality._rows([(2, 0, quality._pack(np.array([3, 3, 3, 8], np.uint64)), quality._pack(np.array([1, 2, 4, 1], np.uint32)))], quality._ASKS)])
+    r = quality._answer(sizes)((pa.scalar(2),), asks, counts).to_pylist()[0]
+    assert np.allclose(quality._unpack(r["u"], np.float32), [0.5 / 4, 0, 1.25 / 4, 0])
+    assert np.allclose(quality._unpack(r["lam"], np.float32), [1.75 / 4, 1])  # one for each context
