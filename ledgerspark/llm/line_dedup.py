@@ -78,7 +78,7 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def rarity_classes(docs: DataFrame) -> Column:
-    """An array of ``BUCKETS`` classes: the count of a bucket of hashed words over all texts, on a log scale.
+    """An array of ``BUCKETS`` classes, in the top byte: the count of a bucket of hashed words over all texts, on a log scale.
 
     The table has the same size whatever the data.
     """
@@ -86,8 +86,8 @@ def rarity_classes(docs: DataFrame) -> Column:
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count("w").alias("n"))
     table = ["0"] * BUCKETS
     for b, n in counts.collect():
-        table[b] = str(min(120, 1 + int(3 * math.log2(n)))) if n else "0"
-    return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>")
+        table[b] = str(min(120, 1 + int(3 * math.log2(n))) << 56) if n else "0"
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
 
 
 def _equal_lines(docs: DataFrame) -> DataFrame:
@@ -100,9 +100,9 @@ def _equal_lines(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
-    """A row for each word of a line's prefix: w, d, h, i, n, p (position from 0), a (parities), b1 to b3 (those of three quarters of the words), without the ``equal`` lines.
+    """A row for each word of a line's prefix: w, d, h, i, np (n words and position p from 0), a (parities), b (b1 to b3: those of three quarters of the words, null for short lines), without the ``equal`` lines.
 
-    w is cut to 31 bits to spare shuffle; words that then fall together give
+    Few columns spare shuffle. w is cut to 31 bits to spare shuffle; words that then fall together give
     candidates which the filters and the verification refuse.
     """
     marks = small_rows(equal.groupBy(F.col("d").alias("md"), F.col("h").alias("mh")).agg(F.collect_set("i").alias("skip")), "skip")
@@ -110,18 +110,26 @@ def _postings(docs: DataFrame, equal: DataFrame, threshold: float) -> DataFrame:
     rows = _lines(src, "skip").where("skip is null or not array_contains(skip, i)")
     table = rarity_classes(docs)
     hashes = F.array_distinct(F.transform(F.array_remove(pieces("line"), ""), lambda w: F.xxhash64(w)))
-    code = F.transform(hashes, lambda h: F.shiftleft(table[h.bitwiseAND(BUCKETS - 1).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    # an array without nulls is sorted as numbers
+    code = F.transform(hashes, lambda h: F.coalesce(table[h.bitwiseAND(BUCKETS - 1)], F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8)))
     rows = rows.select(*AT, F.sort_array(code).alias("c"))
     n = F.size("c")
-    one = F.lit(1).cast("long")
-    bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(63).cast("int"))
-    parity = F.aggregate("c", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(bit(c)))
-    quarter = lambda q: F.aggregate("c", F.lit(0).cast("long"), lambda x, c: F.when(F.shiftrightunsigned(c, 6).bitwiseAND(3) == q, x.bitwiseXOR(bit(c))).otherwise(x))
-    long = [F.when(n > LONG, quarter(q)).alias(f"b{q}") for q in (1, 2, 3)]
-    rows = rows.select(*AT, n.cast("int").alias("n"), parity.alias("a"), *long, F.slice("c", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")).alias("c"))
-    rows = rows.select(*AT, "n", "a", *LONG_BITS, F.posexplode_outer("c").alias("p", "c"))
-    level = F.least(F.lit(61), F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9)).cast("int")
-    return rows.select(F.shiftrightunsigned("c", 12).bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), *AT, "n", "p", "a", *LONG_BITS).withColumn("level", level)
+    b = F.when(n > LONG, F.struct(*[_parities(q).alias(f"b{q}") for q in (1, 2, 3)]))
+    rows = rows.select(*AT, n.cast("int").alias("n"), _parities().alias("a"), b.alias("b"), F.slice("c", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")).alias("c"))
+    rows = rows.select(*AT, "n", "a", "b", F.posexplode_outer("c").alias("p", "c"))
+    np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long"))
+    return rows.select(F.shiftrightunsigned("c", 12).bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), *AT, np.alias("np"), "a", "b")
+
+
+def _parities(quarter: int | None = None) -> Column:
+    """The parities of the hashed words c, of all or of a quarter of them.
+
+    The bits are looked up, as functions of lambdas are interpreted, and a
+    table takes fewer of them.
+    """
+    bits = [1 << i % 64 if quarter in (None, i // 64) else 0 for i in range(256 if quarter else 64)]
+    table = F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in bits)), ",").cast("array<bigint>")
+    return F.aggregate("c", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(table[c.bitwiseAND(len(bits) - 1)]))
 
 
 def shuffled_once(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -152,14 +160,18 @@ def _buckets(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, size // BUCKET_BYTES))
 
 
-def _shared(posts: DataFrame, n: int) -> DataFrame:
+def _shared(posts: DataFrame, n: int, threshold: float) -> DataFrame:
     """The postings of words that stand in another prefix too, of a line of about the same length; ``n`` partitions by w."""
     posts = shuffled_once(posts, "w", n)
+    words, place = F.shiftright("np", 32).cast("int"), F.col("np").bitwiseAND(0x7FFFFFFF).cast("int")
+    level = F.least(F.lit(61), F.floor(F.log(words.cast("double")) / -math.log(threshold) + 1e-9)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
-    masks = posts.groupBy("w", "level").agg(F.count("*").alias("c")).groupBy("w").agg(F.bit_or(one).alias("any"), F.bit_or(F.when(F.col("c") > 1, one).otherwise(0)).alias("many"), F.sum("c").alias("c")).where("c > 1")
-    bits = F.col("many").bitwiseOR(F.shiftleft("any", 1)).bitwiseOR(F.shiftrightunsigned("any", 1))
-    masks = masks.select(F.col("w").alias("mw"), bits.alias("bits"))
-    return posts.join(masks.hint("shuffle_hash"), F.col("w") == F.col("mw")).where(F.col("bits").bitwiseAND(one) != 0).drop("mw", "bits")
+    masks = posts.select("w", level.alias("level")).groupBy("w").agg(F.bit_or(one).alias("any"), F.count("*").alias("c")).where("c > 1")
+    # a level counts as shared by two if any level of the word is
+    own = F.when(F.col("c") > F.bit_count("any"), F.col("any")).otherwise(0)
+    masks = masks.select(F.col("w").alias("mw"), own.bitwiseOR(F.shiftleft("any", 1)).bitwiseOR(F.shiftrightunsigned("any", 1)).alias("bits"))
+    posts = posts.join(masks.hint("shuffle_hash"), F.col("w") == F.col("mw")).withColumn("level", level).where(F.col("bits").bitwiseAND(one) != 0)
+    return posts.select("w", *AT, words.alias("n"), place.alias("p"), "a", *[F.col(f"b.{c}").alias(c) for c in LONG_BITS], "level")
 
 
 def _near(threshold: float) -> Column:
@@ -243,7 +255,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """d, h, i of the lines to remove, from columns _lm_id, _lm_h and _lm_text."""
     equal = written(_equal_lines(docs), "equal_lines")
     n = _buckets(docs)
-    every = bucketed(_shared(_postings(docs, equal, threshold), n), "w", n, "postings", ordered=True)
+    every = bucketed(_shared(_postings(docs, equal, threshold), n, threshold), "w", n, "postings", ordered=True)
     posts, closed = every.withColumn("open", F.lit(True)), None
     buckets = every.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.max("c").alias("most")).na.fill(0).first()
     with kept_partitioning(docs.sparkSession):

@@ -94,3 +94,22 @@ def test_toxicity_travels_by_value():
     """The functions that run on executors take no module of the package with them, which can hold what cannot be sent."""
     for f in (toxicity._frequencies(64), toxicity._features(np.arange(3), 64), toxicity._score(None, 64, 0.5)):
         assert callable(cloudpickle.loads(cloudpickle.dumps(f)))
+
+
+def test_narrow_postings_hold_the_parities_of_lines(spark):
+    lines = ["w1 w2 w3 w4 w5 w6", " ".join(f"v{i}" for i in range(150))]
+    docs = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "_lm_id long, _lm_h long, _lm_text string")
+    equal = spark.createDataFrame([], "d long, h long, i int")
+    posts = line_dedup._postings(docs, equal, 0.8)
+    assert posts.columns == ["w", "d", "h", "i", "np", "a", "b"]
+    hashes = docs.select("_lm_id", F.transform(F.split("_lm_text", " "), lambda w: F.xxhash64(w)).alias("h"))
+    words = {d: [(h % (1 << 64)) >> 8 for h in hs] for d, hs in hashes.collect()}
+    signed = lambda x: x - (x >> 63 << 64)
+    for d, c in words.items():
+        rows = posts.where(F.col("d") == d).collect()
+        assert sorted(r["np"] for r in rows) == [(len(c) << 32) + p for p in range(len(c) - -(-len(c) * 4 // 5) + 1)]
+        parity = [0, 0, 0, 0]
+        for x in c:
+            parity[x >> 6 & 3] ^= 1 << (x & 63)
+        b = tuple(signed(x) for x in parity[1:]) if len(c) > 64 else None
+        assert {(r["a"], r["b"] and tuple(r["b"])) for r in rows} == {(signed(parity[0] ^ parity[1] ^ parity[2] ^ parity[3]), b)}
