@@ -75,6 +75,38 @@ def test_simulation_works_profiles_out_once(spark):
     assert plan.count("aggregate(slice(pmf") == 1 and plan.count("aggregate(slice(p#") == 1
 
 
+def test_bands_take_all_runs_of_the_policy(spark, monkeypatch):
+    from ledgerspark.plans import catalogue
+    from ledgerspark.settings import RULES
+
+    profiles = spark.createDataFrame([("D1", "AR", 1000, "pmf", date(2000, 5, 20), [0.02] * 30)], "doc_id string, kind string, outstanding long, branch string, due_date date, p array<double>")
+    monkeypatch.setattr(catalogue, "_profiles", lambda v: profiles)
+    plan = catalogue.QUERIES["mc_bands"](spark, "none")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Range (1, {RULES['cash_policy']['runs'] + 1}," in plan
+
+
+def test_simulated_days_follow_the_profile(spark):
+    day = F.to_date(F.lit("2026-09-05"))
+    p = [0.05, 0.0, 0.2, 0.75]  # paid for sure within four days
+    rows = [(f"D{i}", kind, 1 << (40 * (kind == "AR")), branch, date(2026, 6, 1), p) for i in range(40) for kind, branch in (("AR", "pmf"), ("AR", "hazard"), ("AP", "pmf"))]
+    rows.append(("none", "AR", 1 << 45, "pmf", date(2026, 6, 1), [0.0] * 4))
+    profiles = spark.createDataFrame(rows, "doc_id string, kind string, outstanding long, branch string, due_date date, p array<double>")
+    x = profiles.select(F.xxhash64(F.lit(7), "doc_id", "kind", "branch").alias("key"), F.when(F.col("kind") == "AR", F.col("outstanding")).otherwise(-F.col("outstanding")).alias("signed"), F.when(F.col("branch") == "hazard", 0.25).otherwise(1.0).alias("share"), F.expr("transform(sequence(1, 4), k -> aggregate(slice(p, 1, k), 0D, (s, v) -> s + v))").alias("cum"))
+    got = {}
+    for r in x.repartition(3).mapInArrow(C._draws(4, 501), "run int, i int, net long").groupBy("run", "i").agg(F.sum("net").alias("net")).collect():
+        got[r["run"], r["i"]] = r["net"]
+    # payables are small and receivables large, so that a sum tells both numbers apart
+    out = lambda v: -v % (1 << 40)
+    for i, share in enumerate(p):
+        ar = sum((v + out(v)) >> 40 for (_, k), v in got.items() if k == i)
+        ap = sum(out(v) for (_, k), v in got.items() if k == i)
+        n = 40 * 501
+        assert abs(ar - 1.25 * n * share) < 5 * (1.25 * n * share) ** 0.5 + 1e-9 and abs(ap - n * share) < 5 * (n * share) ** 0.5 + 1e-9
+    assert all(sum(out(got.get((run, k), 0)) for k in range(4)) == 40 for run in range(1, 502))
+    bands = lambda k: [tuple(r) for r in C.monte_carlo(profiles.repartition(k), day, 4, 0, runs=501).orderBy("day").collect()]
+    assert bands(1) == bands(5)
+
+
 def test_stored_frames_can_be_dropped(spark):
     df = checkpointed(spark.range(5))
     assert df.count() == 5 and df.inputFiles()
