@@ -46,6 +46,42 @@ def test_ladder_uses_each_document_once(spark):
     assert all(r["confidence"] >= 0.9 for r in m.where("auto_post").collect())
 
 
+def test_ladder_goes_in_book_order(spark):
+    docs = spark.createDataFrame([
+        doc(1, 100_000, "ZENITH FOODS WORKS"), doc(2, 100_010, "ZENITH FOODS WORKSX"), doc(3, 50_000, "MARINE MILLS"), doc(4, 20_000, "MARINE MILLS"), doc(5, 9_999, "MARINE MILLS", date(2020, 9, 1)),
+        doc(6, 77_700, "OPTIC STORES"), doc(7, 88_800, "LOTUS TOOLS", date(2020, 1, 1)), doc(8, 88_800, "LOTUS TOOLS"),
+    ], DOCS)
+    lines = spark.createDataFrame([
+        line(1, 100_050, "RTGS ZENITH FOODS WORKS"), line(2, 100_060, "RTGS ZENITH FOODS WORKS"), line(3, 100_070, "RTGS ZENITH FOODS WORKSX"),
+        line(4, 70_000, "NEFT CR FROM MARINE MILLS INV-2026-000003"), line(5, 70_000, "CHQ", "u5"), line(6, 88_800, "NEFT CR FROM LOTUS TOOLS INV-2026-000007"),
+    ], LINES)
+    advices = spark.createDataFrame([(1, "A1", "x", 1, date(2026, 9, 1), None, "u5"), (2, "A2", "x", 77_700, date(2026, 9, 1), None, "u5")], ADVICES)
+    m, left = reconcile(lines, docs, advices, spark.createDataFrame([], SETTLEMENTS))
+    got = {r["line_id"]: r for r in m.collect()}
+    # L2 finds D1 gone and takes D2, before L3 has its turn
+    assert [(got[x]["tier"], got[x]["doc_ids"]) for x in ("L1", "L2")] == [("t5", ["D1"]), ("t5", ["D2"])] and "L3" not in got
+    # what D3 leaves open is D4's amount
+    assert got["L4"]["doc_ids"] == ["D3", "D4"] and got["L4"]["confidence"] <= 0.88 and not got["L4"]["auto_post"]
+    # no advice names a document, so the amount of the last one counts
+    assert (got["L5"]["tier"], got["L5"]["doc_ids"], got["L5"]["diff"]) == ("t2", ["D6"], -7_700)
+    # the quoted document is outside its window: no other tier guesses
+    assert sorted(r["line_id"] for r in left.collect()) == ["L3", "L6"] and len(got) == 4
+
+
+def test_sums_of_a_residue(spark):
+    import random
+    from itertools import combinations
+
+    from ledgerspark.plans.ladder import _sums
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        v, t = [rnd.randrange(1, 12) for _ in range(rnd.randrange(9))], rnd.randrange(30)
+        want = [c for n in (2, 3, 4) for c in combinations(range(len(v)), n) if t > 0 and sum(v[i] for i in c) == t]
+        got = _sums(v, t, 2, 4)
+        assert len(got) == min(2, len(want)) and {tuple(sorted(g)) for g in got} <= set(want)
+
+
 def test_subset_sums(spark):
     df = spark.createDataFrame([([100, 150, 250, 75], 500)], "v array<long>, t long")
     assert df.select(R.subset_sums("v", "t").alias("m")).first()["m"] == [7]
